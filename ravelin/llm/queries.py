@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
-from . import mixing, spans, tokens
+from . import groups, mixing, oracles, spans, survivors, tokens
+
+
+def p2_found(spark, d):
+    return groups.repository_groups(table(spark, d, "github_cache"), table(spark, d, "repo_refs_cache"))
+
+
+def p3_found(spark, d):
+    return survivors.surviving_repositories(table(spark, d, "dependency_repo_aggregates"), table(spark, d, "github_cache")).select(
+        "current_name", "title", "stargazers"
+    )
+
+
+def p3_records(spark, d):
+    return survivors.surviving_repositories(table(spark, d, "dependency_repo_aggregates"), table(spark, d, "github_cache"))
 
 
 def p8_ids(spark, d):
@@ -36,5 +50,9 @@ def p10_share(spark, d):
     return spans.shared_fraction(docs, spans.shared_spans(docs))
 
 
-QUERIES = {"p10_found": p10_found, "p10_share": p10_share, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_records": p3_records,
+    "p10_found": p10_found, "p10_share": p10_share, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+ORACLES = {**oracles.ORACLES}
