@@ -42,4 +42,36 @@ best AS (
 
 P3 = _P3 + "SELECT current_name, title, stargazers FROM best WHERE records > 1 AND title IS NOT NULL AND stargazers IS NOT NULL"
 
-ORACLES = {"p2_found": P2, "p3_found": P3}
+
+def _clean(t: str, key: str, items: str, time: str) -> str:
+    return rf"""SELECT {key} AS id, list_sort(list_distinct(list_filter(list_transform(coalesce({items}, []), lambda x: lower(trim(x, E' \t\n\r'))), lambda x: x <> ''))) AS s
+      FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {time} DESC NULLS LAST) AS rn FROM {t}) WHERE rn = 1"""
+
+
+P4 = rf"""
+WITH sets AS (SELECT 'topics' AS tab, * FROM ({_clean('topics', 'record_id', 'topics', 'fetched_at')})
+        UNION ALL SELECT 'shared_stargazers', * FROM ({_clean('shared_stargazers', 'edge_id', 'members', 'found_at')})),
+flat AS (SELECT tab, id, len(s) AS n, unnest(s) AS x FROM sets)
+SELECT a.tab, a.id AS id_a, b.id AS id_b FROM flat a JOIN flat b ON a.tab = b.tab AND a.x = b.x AND a.id < b.id
+GROUP BY a.tab, a.id, b.id, a.n, b.n HAVING count(*) >= 0.7 * (a.n + b.n - count(*)) - 1e-9
+"""
+
+_P6 = rf"""
+WITH sets AS (SELECT * FROM ({_clean('topics', 'record_id', 'topics', 'fetched_at')}) WHERE len(s) > 0),
+n AS (SELECT count(*) AS n FROM sets), flat AS (SELECT id, unnest(s) AS x FROM sets), c AS (SELECT x, count(*) AS c FROM flat GROUP BY x),
+pair AS (SELECT a.x AS a, b.x AS b, count(*) AS n_ab FROM flat a JOIN flat b ON a.id = b.id AND a.x < b.x GROUP BY ALL HAVING count(*) >= 5)
+"""
+P6 = _P6 + "SELECT a AS topic_a, b AS topic_b FROM pair JOIN c ca ON ca.x = a JOIN c cb ON cb.x = b, n WHERE n_ab * n.n >= 3 * ca.c * cb.c"
+
+_P7 = r"""
+WITH big AS (SELECT repo FROM (SELECT lower(trim(repo)) AS repo, arg_max(coalesce(stargazers, -1), coalesce(loaded_at, TIMESTAMP '0001-01-01')) AS stars FROM repo_aggregates WHERE repo IS NOT NULL GROUP BY 1) WHERE stars >= 500),
+edge AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY found_at DESC NULLS LAST) AS rn FROM shared_stargazers) WHERE rn = 1),
+ends AS (SELECT lower(trim(a)) AS repo, members FROM edge UNION ALL SELECT lower(trim(b)), members FROM edge),
+held AS (SELECT DISTINCT repo, m FROM (SELECT repo, lower(trim(unnest(members), E' \t\n\r')) AS m FROM ends WHERE repo IN (SELECT repo FROM big)) WHERE m <> ''),
+size AS (SELECT repo, count(*) AS n FROM held GROUP BY 1),
+pair AS (SELECT x.repo AS a, y.repo AS b, count(*) AS common FROM held x JOIN held y ON x.m = y.m AND x.repo < y.repo GROUP BY ALL)
+"""
+P7 = _P7 + "SELECT a AS repo_a, b AS repo_b FROM pair JOIN size sa ON sa.repo = a JOIN size sb ON sb.repo = b WHERE common >= 0.35 * least(sa.n, sb.n)"
+P7_ALL = _P7 + "SELECT a, b, common, sa.n AS size_a, sb.n AS size_b FROM pair JOIN size sa ON sa.repo = a JOIN size sb ON sb.repo = b"
+
+ORACLES = {"p2_found": P2, "p3_found": P3, "p4_found": P4, "p6_found": P6, "p7_found": P7, "p7_overlaps": P7_ALL}
