@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
-from . import audiences, groups, mixing, oracles, similar, spans, survivors, together, tokens
+from . import audiences, groups, mixing, neighbours, oracles, similar, spans, survivors, together, tokens
 
 
 def p2_found(spark, d):
@@ -40,6 +40,17 @@ def p4_found(spark, d):
     return pairs.select("tab", F.col("a").alias("id_a"), F.col("b").alias("id_b"))
 
 
+def p5_nearest(spark, d):
+    t = table(spark, d, "repo_text_embeddings").where(F.col("vec_id").isNotNull())
+    last = t.groupBy("vec_id").agg(F.max_by("embedding", F.struct("embedded_at", "embedding")).alias("embedding"))
+    return neighbours.nearest(last, "vec_id", "embedding", 5)
+
+
+def p5_found(spark, d):
+    near = p5_nearest(spark, d)
+    return near.select(F.least("id", "other").alias("vec_a"), F.greatest("id", "other").alias("vec_b")).distinct()
+
+
 def p6_pairs(spark, d):
     return together.surprising_pairs(_sets(spark, d, "topics", "record_id", "topics", "fetched_at"), "id", "items", 5, 3.0)
 
@@ -100,6 +111,8 @@ def p10_share(spark, d):
 
 QUERIES = {
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_nearest": p5_nearest,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
     "p7_found": p7_found,
