@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import wide
+from . import edges, scans, wide
 
-MODULES = [wide]
+MODULES = [wide, scans, edges]
 
 
 def queries():
@@ -16,4 +16,4 @@ def oracles():
 
 
 def flagship(spark, d):
-    return queries()["p1_wide"](spark, d)
+    return queries()["j1_shared_parts_pruned"](spark, d)
