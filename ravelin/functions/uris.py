@@ -97,7 +97,12 @@ def package_repo(project_urls: Column, home_page: Column, download_url: Column,
     """owner/name of a package: the listed names by priority, then any listed URL in order, then the home page and the download URL."""
     read = lambda u: repo_of_url(u, **URL_READINGS["pypi"])
     entries = F.map_entries(project_urls)
-    named = [F.get(F.filter(F.transform(F.filter(entries, lambda e, k=k: F.lower(F.trim(e["key"])) == k), lambda e: read(e["value"])), lambda x: x.isNotNull()), F.lit(0)) for k in keys]
+
+    def listed(k: str) -> Column:
+        urls = F.transform(F.filter(entries, lambda e: F.lower(F.trim(e["key"])) == k), lambda e: read(e["value"]))
+        return F.get(F.filter(urls, lambda x: x.isNotNull()), F.lit(0))
+
+    named = [listed(k) for k in keys]
     anyone = F.get(F.filter(F.transform(entries, lambda e: read(e["value"])), lambda x: x.isNotNull()), F.lit(0))
     return F.coalesce(*named, anyone, read(home_page), read(download_url))
 

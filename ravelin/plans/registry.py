@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import edges, scans, wide
+from . import edges, maps, prose, scans, wide
 
-MODULES = [wide, scans, edges]
+MODULES = [wide, scans, edges, prose, maps]
 
 
 def queries():
