@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import defaultdict
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,14 +122,62 @@ def height_of_new(deps: DataFrame, h: DataFrame, step: DataFrame) -> DataFrame:
     return deps.join(h.select(F.col("node").alias("dep"), "height"), "dep").groupBy("node").agg(F.avg("height").alias("_m")).crossJoin(step).select("node", (F.col("_m") + F.col("level_step_normalized")).alias("height"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, seed: int = 1) -> DataFrame:
+#: Edges up to which communities are moved on the driver, by the same rule and to the same result as in tables.
+LOCAL_EDGES = 200_000
+
+
+def _moved_here(rows: list, resolution: float, rounds: int, seed: int) -> dict:
+    """communities() for edges (a, b, w) in memory."""
+    near: dict = defaultdict(lambda: defaultdict(float))
+    for a, b, w in rows:
+        near[a][b] += w
+        near[b][a] += w
+    k = {u: sum(v.values()) for u, v in near.items()}
+    two_m = sum(k.values())
+    c = {u: u for u in near}
+    for r in range(rounds if two_m else 0):
+        tot: dict = defaultdict(float)
+        for u, x in c.items():
+            tot[x] += k[u]
+        to = {}
+        for u in near:
+            if zlib.crc32(f"{u}|{r}|{seed}".encode()) % 2:
+                continue
+            link = {c[u]: 0.0}
+            for v, w in near[u].items():
+                link[c[v]] = link.get(c[v], 0.0) + w
+            best = max((round(w - resolution * k[u] * (tot[x] - (k[u] if x == c[u] else 0.0)) / two_m, 9), x == c[u], x) for x, w in link.items())
+            if best[2] != c[u]:
+                to[u] = best[2]
+        c.update(to)
+        if r > 1 and not to:
+            break
+    name: dict = {}
+    for u in sorted(near):
+        if u not in name:
+            stack = [u]
+            name[u] = u
+            while stack:
+                x = stack.pop()
+                for v in near[x]:
+                    if v not in name and c[v] == c[u]:
+                        name[v] = u
+                        stack.append(v)
+    return name
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, seed: int = 1, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, community): a partition into connected communities by local moves of modularity with a resolution.
 
     Each round every other node, by a hash of node, round and seed, moves to the neighbouring community of greatest gain; communities that fall apart are split into
     their components, and a community is named by its smallest node. Deterministic for a seed.
     """
     e = cut(edges.select("a", "b", F.col("w").cast("double").alias("w")).where(F.col("a") != F.col("b")))
-    both = cut(both_ways(e))
+    if e.count() <= local_edges:
+        kind = edges.schema["a"].dataType.simpleString()
+        name = _moved_here([(r["a"], r["b"], r["w"]) for r in e.collect()], resolution, rounds, seed)
+        return edges.sparkSession.createDataFrame(sorted(name.items()), f"node {kind}, community {kind}")
+    both = cut(both_ways(e).groupBy("node", "other").agg(F.sum("w").alias("w")))
     deg = cut(both.groupBy("node").agg(F.sum("w").alias("k")))
     two_m = deg.agg(F.sum("k")).first()[0]
     cur = cut(deg.select("node", "k", F.col("node").alias("c")))
@@ -138,7 +189,7 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, see
         there = F.col("tot") - F.when(F.col("cn") == F.col("c"), F.col("k")).otherwise(0.0)
         gain = F.round(F.col("wc") - resolution * F.col("k") * there / two_m, 9)
         best = cand.groupBy("node").agg(F.max_by("cn", F.struct(gain.alias("g"), (F.col("cn") == F.col("c")).alias("s"), F.col("cn").alias("n"))).alias("to"))
-        awake = F.pmod(F.xxhash64("node", F.lit(r), F.lit(seed)), F.lit(2)) == 0
+        awake = F.crc32(F.concat(F.col("node").cast("string"), F.lit(f"|{r}|{seed}"))) % 2 == 0
         new = cut(cur.join(best, "node").select("node", "k", F.when(awake, F.col("to")).otherwise(F.col("c")).alias("c"), (awake & (F.col("to") != F.col("c"))).alias("moved")))
         cur = new.select("node", "k", "c")
         if r > 1 and new.where("moved").isEmpty():
