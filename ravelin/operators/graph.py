@@ -141,17 +141,15 @@ def _moved_here(rows: list, resolution: float, rounds: int, seed: int) -> dict:
             tot[x] += k[u]
         to = {}
         for u in near:
-            if zlib.crc32(f"{u}|{r}|{seed}".encode()) % 2:
-                continue
             link = {c[u]: 0.0}
             for v, w in near[u].items():
                 link[c[v]] = link.get(c[v], 0.0) + w
             best = max((round(w - resolution * k[u] * (tot[x] - (k[u] if x == c[u] else 0.0)) / two_m, 9), x == c[u], x) for x, w in link.items())
             if best[2] != c[u]:
                 to[u] = best[2]
-        c.update(to)
-        if r > 1 and not to:
+        if not to:
             break
+        c.update({u: x for u, x in to.items() if zlib.crc32(f"{u}|{r}|{seed}".encode()) % 2 == 0})
     name: dict = {}
     for u in sorted(near):
         if u not in name:
@@ -166,7 +164,7 @@ def _moved_here(rows: list, resolution: float, rounds: int, seed: int) -> dict:
     return name
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, seed: int = 1, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, seed: int = 1, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, community): a partition into connected communities by local moves of modularity with a resolution.
 
     Each round every other node, by a hash of node, round and seed, moves to the neighbouring community of greatest gain; communities that fall apart are split into
@@ -190,9 +188,9 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, see
         gain = F.round(F.col("wc") - resolution * F.col("k") * there / two_m, 9)
         best = cand.groupBy("node").agg(F.max_by("cn", F.struct(gain.alias("g"), (F.col("cn") == F.col("c")).alias("s"), F.col("cn").alias("n"))).alias("to"))
         awake = F.crc32(F.concat(F.col("node").cast("string"), F.lit(f"|{r}|{seed}"))) % 2 == 0
-        new = cut(cur.join(best, "node").select("node", "k", F.when(awake, F.col("to")).otherwise(F.col("c")).alias("c"), (awake & (F.col("to") != F.col("c"))).alias("moved")))
+        new = cut(cur.join(best, "node").select("node", "k", F.when(awake, F.col("to")).otherwise(F.col("c")).alias("c"), (F.col("to") != F.col("c")).alias("moved")))
         cur = new.select("node", "k", "c")
-        if r > 1 and new.where("moved").isEmpty():
+        if new.where("moved").isEmpty():
             break
     c = cur.select("node", "c")
     inside = e.join(c.withColumnRenamed("node", "a").withColumnRenamed("c", "ca"), "a").join(c.withColumnRenamed("node", "b").withColumnRenamed("c", "cb"), "b").where(F.col("ca") == F.col("cb"))

@@ -2,28 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut
 
-def overlap_edges(pairs: DataFrame, left: str = "left", item: str = "item", min_shared: int = 3, with_members: bool = False) -> DataFrame:
+
+#: Holders beyond which an item is hot: its pairs are no longer made one by one.
+HOT = 2000
+
+
+def overlap_edges(pairs: DataFrame, left: str = "left", item: str = "item", min_shared: int = 3, with_members: bool = False, hot: int = HOT) -> DataFrame:
     """(a, b, w[, members]): keys a < b with at least min_shared common items; exact.
 
-    Keys that share k items share one that is not among either's k - 1 most frequent: only those are joined
-    (most frequent last), so hot items, whose holders would all meet, drop out where k > 1; the met pairs are
-    then counted in full. Nulls have no edge, repeats count once.
+    Pairs that share an ordinary item meet by an equi-join on it and are counted before the shuffle. Items of more than `hot` holders
+    make no pairs of their own: a pair met by ordinary items gets its hot ones from the two short lists of hot items, and a pair that shares
+    hot items only, min_shared of them, shares one that is not among either's min_shared - 1 hottest, so only the others are joined.
+    Nulls have no edge, repeats count once.
     """
     flat = pairs.select(F.col(left).alias("l"), F.col(item).alias("i")).where(F.col("l").isNotNull() & F.col("i").isNotNull()).distinct()
     freq = flat.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    held = flat.join(freq, "i")
-    by = Window.partitionBy("l").orderBy(F.col("n").desc(), F.col("i").desc())
-    cold = held.withColumn("r", F.row_number().over(by)).where(F.col("r") >= min_shared).select("l", "i") if min_shared > 1 else held.select("l", "i")
+    held = cut(flat.join(freq, "i"))
+    cold = held.where(F.col("n") <= hot)
     x, y = cold.select(F.col("l").alias("a"), "i"), cold.select(F.col("l").alias("b"), "i")
-    met = x.join(y, "i").where(F.col("a") < F.col("b")).select("a", "b").distinct()
-    items_a, items_b = held.select(F.col("l").alias("a"), "i"), held.select(F.col("l").alias("b"), "i")
-    both = met.join(items_a, "a").join(items_b, ["b", "i"])
-    aggs = [F.count("*").alias("w")] + ([F.array_sort(F.collect_list("i")).alias("members")] if with_members else [])
-    return both.groupBy("a", "b").agg(*aggs).where(F.col("w") >= min_shared)
+    members = [F.collect_list("i").alias("m")] if with_members else []
+    met = x.join(y, "i").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count("*").alias("c"), *members)
+    lists = held.where(F.col("n") > hot).groupBy("l").agg(F.array_sort(F.collect_list(F.struct("n", "i"))).alias("h"))
+    if lists.isEmpty():
+        out = met.where(F.col("c") >= min_shared)
+        return out.select("a", "b", F.col("c").alias("w"), *([F.array_sort("m").alias("members")] if with_members else []))
+    lists = cut(lists.select("l", F.transform("h", lambda v: v["i"]).alias("h")))
+    rest = lists.select("l", F.explode(F.slice("h", 1, F.greatest(F.size("h") - (min_shared - 1), F.lit(0)))).alias("i"))
+    only = rest.select(F.col("l").alias("a"), "i").join(rest.select(F.col("l").alias("b"), "i"), "i").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    every = met.join(only, ["a", "b"], "full_outer")
+    both = every.join(lists.select(F.col("l").alias("a"), F.col("h").alias("ha")), "a", "left").join(lists.select(F.col("l").alias("b"), F.col("h").alias("hb")), "b", "left")
+    none = F.array().cast(lists.schema["h"].dataType)
+    common = F.coalesce(F.array_intersect("ha", "hb"), none)
+    w = F.coalesce("c", F.lit(0)) + F.size(common)
+    got = [F.array_sort(F.concat(F.coalesce("m", none), common)).alias("members")] if with_members else []
+    return both.select("a", "b", w.cast("long").alias("w"), *got).where(F.col("w") >= min_shared)
 
 
 def both_ways(edges: DataFrame, weight: str = "w") -> DataFrame:

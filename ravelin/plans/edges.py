@@ -41,9 +41,12 @@ def j1_shared_parts_pruned(spark, d):
     return overlap.prune_either(overlap.overlap_edges(data.customer_parts(spark, d), min_shared=3), 4)
 
 
-@query(f"SELECT a, b, w FROM {_overlap(data.STARGAZERS, 3)}")
+_AUDIENCE = f"(SELECT * FROM {data.AUDIENCE} WHERE i IS NOT NULL AND i <> '')"
+
+
+@query(f"SELECT a, b, w FROM {_overlap(_AUDIENCE, 3)}")
 def j1_shared_stargazers(spark, d):
-    return overlap.overlap_edges(data.stargazers(spark, d), min_shared=3)
+    return overlap.overlap_edges(data.audience(spark, d), min_shared=3)
 
 
 @query(f"SELECT x.repo AS a, y.repo AS b, count(*) AS w, list_sort(list(x.topic)) AS members FROM {data.REPO_TOPICS} x JOIN {data.REPO_TOPICS} y ON x.topic = y.topic AND x.repo < y.repo GROUP BY ALL HAVING count(*) >= 5")
@@ -125,13 +128,13 @@ def a8_topic_pmi(spark, d):
 
 
 @query(
-    f"""WITH s AS (SELECT l AS d, i FROM {data.STARGAZERS}), n AS (SELECT count(DISTINCT i) AS n FROM s), c AS (SELECT d AS i, count(*) AS c FROM s GROUP BY 1 HAVING count(*) >= 5),
+    f"""WITH s AS (SELECT l AS d, i FROM {_AUDIENCE}), n AS (SELECT count(DISTINCT i) AS n FROM s), c AS (SELECT d AS i, count(*) AS c FROM s GROUP BY 1 HAVING count(*) >= 5),
     e AS (SELECT x.d AS a, y.d AS b, ln(count(*) * any_value(n.n) / (any_value(ca.c) * any_value(cb.c))) AS w FROM s x JOIN s y ON x.i = y.i AND x.d < y.d JOIN c ca ON ca.i = x.d JOIN c cb ON cb.i = y.d, n GROUP BY x.d, y.d HAVING count(*) >= 3)
     SELECT a, b, round(w, 6) AS w FROM e WHERE w > 0"""
 )
 def a9_costar_pmi(spark, d):
     """The same operator with the roles turned: persons are the documents, repositories the items."""
-    p = data.stargazers(spark, d).select(F.col("item").alias("doc"), F.col("left").alias("item"))
+    p = data.audience(spark, d).select(F.col("item").alias("doc"), F.col("left").alias("item"))
     return association.positive_pmi(p, min_item=5, min_pair=3).select("a", "b", F.round("w", 6).alias("w"))
 
 
