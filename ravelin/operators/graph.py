@@ -126,6 +126,14 @@ def height_of_new(deps: DataFrame, h: DataFrame, step: DataFrame) -> DataFrame:
 LOCAL_EDGES = 200_000
 
 
+#: A checksum's own bits flip together for all nodes from round to round; its rest by a prime does not.
+_PRIME = 1000003
+
+
+def _awake(node, r: int, seed: int) -> bool:
+    return zlib.crc32(f"{node}|{r}|{seed}".encode()) % _PRIME % 2 == 0
+
+
 def _moved_here(rows: list, resolution: float, rounds: int, seed: int) -> dict:
     """communities() for edges (a, b, w) in memory."""
     near: dict = defaultdict(lambda: defaultdict(float))
@@ -149,7 +157,7 @@ def _moved_here(rows: list, resolution: float, rounds: int, seed: int) -> dict:
                 to[u] = best[2]
         if not to:
             break
-        c.update({u: x for u, x in to.items() if zlib.crc32(f"{u}|{r}|{seed}".encode()) % 2 == 0})
+        c.update({u: x for u, x in to.items() if _awake(u, r, seed)})
     name: dict = {}
     for u in sorted(near):
         if u not in name:
@@ -187,7 +195,7 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, see
         there = F.col("tot") - F.when(F.col("cn") == F.col("c"), F.col("k")).otherwise(0.0)
         gain = F.round(F.col("wc") - resolution * F.col("k") * there / two_m, 9)
         best = cand.groupBy("node").agg(F.max_by("cn", F.struct(gain.alias("g"), (F.col("cn") == F.col("c")).alias("s"), F.col("cn").alias("n"))).alias("to"))
-        awake = F.crc32(F.concat(F.col("node").cast("string"), F.lit(f"|{r}|{seed}"))) % 2 == 0
+        awake = F.crc32(F.concat(F.col("node").cast("string"), F.lit(f"|{r}|{seed}"))) % _PRIME % 2 == 0
         new = cut(cur.join(best, "node").select("node", "k", F.when(awake, F.col("to")).otherwise(F.col("c")).alias("c"), (F.col("to") != F.col("c")).alias("moved")))
         cur = new.select("node", "k", "c")
         if new.where("moved").isEmpty():
