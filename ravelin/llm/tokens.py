@@ -169,7 +169,9 @@ class Joiner:
                     a = next(mine, None)
                 else:
                     b = next(theirs, None)
-            rest = self.after(right_ids, right[:b]) if a is not None and b is not None else None
+            # agreement within reach of the next chunk is not certain yet
+            certain = a is not None and b is not None and a + LOOKAHEAD <= len(open_text)
+            rest = self.after(right_ids, right[:b]) if certain else None
             if rest is not None:
                 done.extend(head)
                 start = 0
