@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -202,11 +203,10 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            texts = b.column("_chunk").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column("_key"), b.column("_chunk"), pa.array([enc.encode_ordinary(t) for t in texts], pa.list_(pa.int32()))],
-                names=["_key", "_chunk", "_ids"],
-            )
+            got = [enc.encode_to_numpy(t, disallowed_special=()).astype(np.int32) for t in b.column("_chunk").to_pylist()]
+            ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got) if got else np.empty(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("_chunk"), ids], names=["_key", "_chunk", "_ids"])
 
     # many documents to a chunk: the ids travel once per document piece, the chunk is encoded once
     coded = pieces.groupBy("_key").agg(F.first("_chunk").alias("_chunk")).mapInArrow(encode, "_key binary, _chunk string, _ids array<int>")
@@ -216,10 +216,13 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         j = Joiner(path)
         for b in batches:
-            out = []
-            for row in b.column("_all").to_pylist():
-                out.append(row[0]["_ids"] if len(row) == 1 else j.join([x["_chunk"] for x in row], [x["_ids"] for x in row]))
-            yield pa.RecordBatch.from_arrays([b.column("_doc"), pa.array(out, pa.list_(pa.int32()))], names=[doc_id, "ids"])
+            every, of = b.column("_all"), pc.list_value_length(b.column("_all")).to_numpy(zero_copy_only=False)
+            # a document of one chunk is that chunk's ids, without a way through Python
+            whole_, parted = pa.array(np.flatnonzero(of == 1)), pa.array(np.flatnonzero(of > 1))
+            alone = every.take(whole_).flatten()
+            yield pa.RecordBatch.from_arrays([b.column("_doc").take(whole_), alone.field("_ids")], names=[doc_id, "ids"])
+            out = [np.array(j.join([x["_chunk"] for x in row], [x["_ids"] for x in row]), np.int32) for row in every.take(parted).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("_doc").take(parted), pa.array(out, pa.list_(pa.int32()))], names=[doc_id, "ids"])
 
     return whole.mapInArrow(join, f"`{doc_id}` long, ids array<int>")
 
