@@ -114,7 +114,7 @@ def repository_groups(pages: DataFrame, refs: DataFrame, min_shared: int = 2, mi
     )
     held = contained_pairs(sets, "repo", "ids", min_shared, min_part)
     edges = named.select(F.col("repo").alias("a"), F.col("other").alias("b")).unionByName(held.select("a", "b"))
-    comp = components(edges)
+    comp = components(cut(edges))
     recorded = pages.select(slug("repo").alias("repo")).unionByName(refs.select(slug("repo").alias("repo"))).where(F.col("repo").isNotNull()).distinct()
     mine = recorded.join(comp, recorded["repo"] == comp["node"]).select("repo", "component")
     ids = mine.groupBy("component").agg(F.min("repo").alias("group_id"), F.count("*").alias("n")).where(F.col("n") > 1)
