@@ -74,4 +74,20 @@ pair AS (SELECT x.repo AS a, y.repo AS b, count(*) AS common FROM held x JOIN he
 P7 = _P7 + "SELECT a AS repo_a, b AS repo_b FROM pair JOIN size sa ON sa.repo = a JOIN size sb ON sb.repo = b WHERE common >= 0.35 * least(sa.n, sb.n)"
 P7_ALL = _P7 + "SELECT a, b, common, sa.n AS size_a, sb.n AS size_b FROM pair JOIN size sa ON sa.repo = a JOIN size sb ON sb.repo = b"
 
-ORACLES = {"p2_found": P2, "p3_found": P3, "p4_found": P4, "p6_found": P6, "p7_found": P7, "p7_overlaps": P7_ALL}
+P5 = r"""
+WITH v AS (SELECT vec_id AS id, CAST(embedding AS double[]) AS e FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY embedded_at DESC NULLS LAST) AS rn FROM repo_text_embeddings WHERE vec_id IS NOT NULL)
+  WHERE rn = 1 AND len(embedding) = 384 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+r AS (SELECT x.id AS a, y.id AS b, row_number() OVER (PARTITION BY x.id ORDER BY round(list_cosine_similarity(x.e, y.e), 6) DESC, y.id) AS k FROM v x JOIN v y ON x.id <> y.id)
+SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE k <= 5
+"""
+
+P10 = r"""
+WITH w AS (SELECT doc_id, i - 1 AS s, substr(text, i, 200) AS t FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+h AS (SELECT t FROM w GROUP BY t HAVING min(doc_id) < max(doc_id)), m AS (SELECT doc_id, s FROM w WHERE t IN (SELECT t FROM h)),
+g AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) > 200 THEN 1 ELSE 0 END AS new FROM m), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM g)
+SELECT doc_id, min(s) AS start_char, max(s) + 200 AS end_char FROM r GROUP BY doc_id, run
+"""
+P10_SHARE = f"""WITH sp AS ({P10}), p AS (SELECT doc_id, sum(end_char - start_char) AS c FROM sp GROUP BY 1)
+SELECT d.doc_id, coalesce(length(text), 0) AS n_chars, coalesce(c, 0) AS shared_chars, CASE WHEN coalesce(length(text), 0) > 0 THEN coalesce(c, 0) / length(text) ELSE 0.0 END AS shared_fraction FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id"""
+
+ORACLES = {"p5_found": P5, "p10_found": P10, "p10_share": P10_SHARE, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p6_found": P6, "p7_found": P7, "p7_overlaps": P7_ALL}
