@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import explore, graph, identity, labels, layout, overlap, resolve
 from ..runtime import cut, table
 from . import data
+from .edges import _CAND
 
 Q, SQL = {}, {}
 
@@ -44,7 +45,14 @@ def g1_components(spark, d):
     return graph.components(ties)
 
 
-@query()
+@query(
+    _REACH.format(_EVIDENCE + f" UNION SELECT a, b FROM (SELECT k.a, k.b FROM {_CAND} k JOIN (SELECT origin, count(*) AS n FROM {data.REFS} GROUP BY 1) p ON p.origin = k.a JOIN (SELECT origin, count(*) AS n FROM {data.REFS} GROUP BY 1) q ON q.origin = k.b JOIN {data.REFS} x ON x.origin = k.a JOIN {data.REFS} y ON y.origin = k.b AND y.object_id = x.object_id GROUP BY k.a, k.b, p.n, q.n HAVING count(*) >= 2 AND count(*) / least(p.n, q.n) >= 0.9)")
+    + f""", p AS (SELECT *, coalesce(fork, false) AS fk FROM {data.PAGES}), comp AS (SELECT x, min(y) AS c FROM r GROUP BY 1), g AS (SELECT coalesce(c, repo) AS grp, p.* FROM p LEFT JOIN comp ON x = repo),
+    nm AS (SELECT m.grp, min(m.repo) AS v FROM g m JOIN (SELECT DISTINCT grp, lower(full_name) AS f FROM g) f ON f.grp = m.grp AND f.f = m.repo WHERE NOT m.fk GROUP BY 1 HAVING count(DISTINCT m.repo) = 1),
+    sc AS (SELECT m.grp, min(m.repo) AS v FROM g m JOIN (SELECT DISTINCT grp, lower(parent_full_name) AS f FROM g WHERE fk) f ON f.grp = m.grp AND f.f = m.repo GROUP BY 1 HAVING count(DISTINCT m.repo) = 1),
+    rk AS (SELECT grp, first(repo ORDER BY fk, coalesce(archived, false), -coalesce(stargazers_count, 0), coalesce(created_at, '9999'), repo) AS v FROM g GROUP BY 1)
+    SELECT rk.grp AS "group", coalesce(nm.v, sc.v, rk.v) AS canonical, CASE WHEN nm.v IS NOT NULL THEN 'full_name' WHEN sc.v IS NOT NULL THEN 'fork source' ELSE 'ranked' END AS canonical_by FROM rk LEFT JOIN nm USING (grp) LEFT JOIN sc USING (grp)"""
+)
 def g2_canonical(spark, d):
     p, _, grouped = _grouped(spark, d)
     return identity.canonical(grouped, p)
@@ -174,30 +182,45 @@ def cluster_band_masks(spark, d):
     return b.select("user_id", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "mask")
 
 
-@query()
+@query(f"SELECT user_id, round(min(height), 6) AS lo, round(max(height), 6) AS hi FROM {_CIRCLE} GROUP BY 1 HAVING min(height) <= 0.2 AND max(height) >= 0.1 AND count(*) FILTER (least(floor(theta / (2 * pi()) * 32), 31) IN (0, 1, 30, 31)) > 0")
 def clusters_in_band(spark, d):
-    return layout.cluster_in_band(layout.cluster_bands(_events_on_circle(spark, d), "user_id", "height", "theta"), (0.1, 0.2), (6.0, 0.3))
+    b = layout.cluster_in_band(layout.cluster_bands(_events_on_circle(spark, d), "user_id", "height", "theta"), (0.1, 0.2), (6.0, 0.3))
+    return b.select("user_id", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+def _unit(c):
+    """A number in [0, 1) made of a text."""
+    return F.conv(F.substring(F.md5(c.cast("binary")), 1, 6), 16, 10).cast("long") / 16777216.0
+
+
+def _u(k):
+    return f"CAST('0x' || substr(md5({k}), 1, 6) AS bigint) / 16777216.0"
+
+
+_POINTS = f"""(SELECT repo AS node, t AS theta, r, h AS height, s AS stargazers, c AS cluster, r * 400 * cos(t) AS x, (h - 0.5) * 600 AS y, r * 400 * sin(t) AS z FROM
+  (SELECT repo, {_u("repo || 't'")} * 2 * pi() AS t, {_u("repo || 'r'")} AS r, {_u("repo || 'h'")} AS h, stargazers_count AS s, coalesce(language, '?') AS c FROM {data.PAGES}))"""
 
 
 def _repo_points(spark, d):
     """Invented coordinates of repositories: an angle and a radius by name, height by stars."""
     p = data.pages(spark, d)
-    u = lambda k: F.pmod(F.crc32(F.concat("repo", F.lit(k))), F.lit(100000)) / 100000.0
+    u = lambda k: _unit(F.concat("repo", F.lit(k)))
     t = p.select(F.col("repo").alias("node"), (u("t") * 2 * math.pi).alias("theta"), u("r").alias("r"), u("h").alias("height"), F.col("stargazers_count").alias("stargazers"), F.coalesce("language", F.lit("?")).alias("cluster"))
     return layout.positions(t)
 
 
-@query()
+@query(f"SELECT node, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM {_POINTS}")
 def g20_positions(spark, d):
     return _repo_points(spark, d).select("node", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("z", 4).alias("z"))
 
 
-@query()
+@query(f"SELECT cluster, round(avg(height), 6) AS height, round(atan2(sum(sin(theta)), sum(cos(theta))), 6) AS theta, round(sqrt(power(sum(cos(theta)), 2) + power(sum(sin(theta)), 2)) / count(*), 6) AS r FROM {_POINTS} GROUP BY 1")
 def g21_cluster_coordinates(spark, d):
-    return layout.cluster_coordinates(_repo_points(spark, d), "cluster")
+    c = layout.cluster_coordinates(_repo_points(spark, d), "cluster")
+    return c.select("cluster", *[F.round(x, 6).alias(x) for x in ("height", "theta", "r")])
 
 
-@query()
+@query(f"SELECT CAST(floor(x / 30) AS bigint) AS cx, CAST(floor(z / 30) AS bigint) AS cz, count(*) AS members, first(node ORDER BY coalesce(stargazers, 0) DESC, node) AS hub FROM {_POINTS} GROUP BY 1, 2 HAVING count(*) >= 4")
 def g22_piles(spark, d):
     return layout.piles(_repo_points(spark, d))
 
@@ -341,16 +364,20 @@ def g25_new_cards(spark, d):
     tags = data.repo_topics(spark, d)
     known = table(spark, d, "repo_aggregates").where("repo is not null").select(F.lower("repo").alias("repo")).distinct()
     old, new = tags.join(known, "repo", "left_semi"), tags.join(known, "repo", "left_anti")
-    theta = tags.select("topic").distinct().select("topic", (F.pmod(F.crc32("topic"), F.lit(628)) / 100.0).alias("theta"))
+    theta = tags.select("topic").distinct().select("topic", (_unit(F.col("topic")) * 6).alias("theta"))
     return explore.card(old, new, theta, 3)[1]
 
 
-@query()
+@query(
+    f"""WITH t AS {data.REPO_TOPICS.strip()}, n AS (SELECT count(DISTINCT repo) AS n FROM t), c AS (SELECT topic, ln(any_value(n) / count(*)) AS w, {_u('topic')} * 6 AS a FROM t, n GROUP BY topic),
+    s AS (SELECT repo, sum(w * cos(a)) AS x, sum(w * sin(a)) AS y, sum(w) AS w FROM t JOIN c USING (topic) WHERE repo NOT IN (SELECT lower(repo) FROM repo_aggregates WHERE repo IS NOT NULL) GROUP BY 1)
+    SELECT repo, CASE WHEN w <> 0 THEN round(atan2(y, x), 6) END AS theta, CASE WHEN w <> 0 THEN round(sqrt(x * x + y * y) / w, 6) ELSE 0.0 END AS r FROM s"""
+)
 def g25_new_angles(spark, d):
     tags = data.repo_topics(spark, d)
     known = table(spark, d, "repo_aggregates").where("repo is not null").select(F.lower("repo").alias("repo")).distinct()
     old, new = tags.join(known, "repo", "left_semi"), tags.join(known, "repo", "left_anti")
-    theta = tags.select("topic").distinct().select("topic", (F.pmod(F.crc32("topic"), F.lit(628)) / 100.0).alias("theta"))
+    theta = tags.select("topic").distinct().select("topic", (_unit(F.col("topic")) * 6).alias("theta"))
     return explore.card(old, new, theta, 3)[0].select("repo", F.round("theta", 6).alias("theta"), F.round("r", 6).alias("r"))
 
 
