@@ -120,7 +120,7 @@ def layout(counts: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray, np.n
     return cells, size, np.array(first, np.int64), np.array(many, np.int64)
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dim: int = 384, train_rows: int = 8192, reach: int = 600, rerank: int = 64, digits: int = 6, seed: int = 3) -> DataFrame:
+def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dim: int = 384, train_rows: int = 8192, reach: int = 800, rerank: int = 192, digits: int = 6, seed: int = 3) -> DataFrame:
     """(id, other, cos, rank): the k most similar others of every usable vector, by cosine rounded to `digits`, ties by smaller id.
 
     vectors has one row per key. Equal vectors are one point of the index, so copies, of which there may be any number, cost one search;
@@ -206,8 +206,8 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dim: int = 38
         back = (1 / own["norm"].to_numpy()).astype(np.float32)
         asked, qs = ask["ask"].to_numpy(), np.frombuffer(b"".join(ask["asked"]), np.float32).reshape(-1, dim)
         out = []
-        for at in range(0, len(asked), 128):
-            y, who = unit(qs[at : at + 128]), asked[at : at + 128]
+        for at in range(0, len(asked), 64):
+            y, who = unit(qs[at : at + 64]), asked[at : at + 64]
             t = q.table(y)
             score = t[:, codes[:, 0]]
             for m in range(1, q.m):
