@@ -205,9 +205,13 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dim: int = 38
         codes = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), q.m).astype(np.int64)
         back = (1 / own["norm"].to_numpy()).astype(np.float32)
         asked, qs = ask["ask"].to_numpy(), np.frombuffer(b"".join(ask["asked"]), np.float32).reshape(-1, dim)
+        # queries of one region come together: a slice's candidates are few, and one product reranks them all
+        qs = unit(qs)
+        order = np.argsort(np.argmax(qs.astype(np.float32) @ q.books[0].T, axis=1), kind="stable")
+        qs, asked = qs[order], asked[order]
         out = []
         for at in range(0, len(asked), 64):
-            y, who = unit(qs[at : at + 64]), asked[at : at + 64]
+            y, who = qs[at : at + 64], asked[at : at + 64]
             t = q.table(y)
             score = t[:, codes[:, 0]]
             for m in range(1, q.m):
@@ -215,7 +219,9 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dim: int = 38
             score *= back
             keep = min(rerank, len(ids))
             best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-            cos = np.round(np.einsum("qrd,qd->qr", x[best], y), digits)
+            some = np.unique(best)
+            exact = y @ x[some].T
+            cos = np.round(np.take_along_axis(exact, np.searchsorted(some, best), 1), digits)
             other = ids[best]
             cos[other == who[:, None]] = -9
             order = np.lexsort((other, -cos), axis=1)[:, :more]
