@@ -69,30 +69,29 @@ def similar_pairs(
     light = classes.select("_c", F.size("_t").alias("_n"), "_t", _sketch("_t").alias("_w"), F.xxhash64("_s").alias("_s"))
     light = light.select("_c", "_n", "_t", *[F.col("_w")[i].alias(f"_w{i}") for i in range(SKETCH)], "_s")
     keep = ["_c", "_n", *[f"_w{i}" for i in range(SKETCH)]]
+    tokens_of = light.select("_c", "_t")
     level = light.select(*keep, "_t", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("_tree"), "_s").select(
-        *keep, "_t", F.xxhash64("_s", "_tree", F.lit(seed)).alias("_node")
+        *keep, "_t", F.array().cast("array<long>").alias("_path"), F.xxhash64("_s", "_tree", F.lit(seed)).alias("_node")
     )
     leaves: list[DataFrame] = []
     sure: list[DataFrame] = []
     for depth in range(max_depth):
         ranked = F.slice(F.array_sort(F.transform("_t", lambda t: F.struct(F.xxhash64("_node", t).alias("h"), t.alias("t")))), 1, branch)
-        down = level.withColumn("_x", F.explode(ranked)).select(
-            *keep, F.filter("_t", lambda t: t != F.col("_x.t")).alias("_t"), F.col("_x.h").alias("_node")
-        )
-        down = cut(down)
+        # what goes down has its path, not its tokens: few rows are in large nodes, and only these fetch them again
+        down = cut(level.select(*keep, "_path", F.explode(ranked).alias("_x")).select(*keep, F.concat("_path", F.array("_x.t")).alias("_path"), F.col("_x.h").alias("_node")))
         sizes = down.groupBy("_node").agg(F.count("*").alias("_m")).where(F.col("_m") > 1)
-        many = sizes.where(F.col("_m") > leaf)
         leaves.append(down.join(sizes.where(F.col("_m") <= leaf).select("_node"), "_node", "left_semi").select("_node", *keep))
-        hot = cut(many.select("_node"))
+        hot = cut(sizes.where(F.col("_m") > leaf).select("_node"))
         if hot.isEmpty():
             break
         stay = down.join(hot, "_node", "left_semi")
+        left = F.col("_n") - (depth + 1)
         spare = int((depth + 1) * (1 - threshold) / threshold + 1e-9)
         if spare:  # the path alone is enough for those with so few tokens off it
-            few = stay.where(F.size("_t") <= spare).select("_node", F.col("_c").alias("p"), F.size("_t").alias("rp"))
+            few = stay.where(left <= spare).select("_node", F.col("_c").alias("p"), left.alias("rp"))
             too = few.select("_node", F.col("p").alias("q"), F.col("rp").alias("rq"))
             sure.append(few.join(too, "_node").where((F.col("p") < F.col("q")) & (F.col("rp") + F.col("rq") <= spare)).select("p", "q"))
-        level = stay.where(F.size("_t") > 0)
+        level = stay.where(left > 0).join(tokens_of, "_c").select(*keep, F.array_except("_t", "_path").alias("_t"), "_path", "_node")
     else:
         leaves.append(level.select("_node", *keep))  # what depth could not split is compared as it is
     flat = leaves[0]
