@@ -8,7 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
 from .graph import DENSE, largest_component
+from .overlap import both_ways
 
 
 def circular_mean(df: DataFrame, key: str, theta: str, weight: str) -> DataFrame:
@@ -51,40 +53,68 @@ def compared_sources(first: DataFrame, second: DataFrame, clusters: DataFrame, k
     return out
 
 
-def spectral(edges: DataFrame, normalised: bool = True, dense: int = DENSE) -> DataFrame:
+def spectral(edges: DataFrame, normalised: bool = True, dense: int = DENSE, rounds: int = 150) -> DataFrame:
     """(node, theta, r): angle and radius of the second and third smallest eigenvectors of the Laplacian of the largest component.
 
     normalised solves L v = lambda D v, in which hubs keep their coordinates; r is the radius scaled to [0, 1]. Directions are fixed up to the
-    eigenvectors' own freedom: the first entry of each, in node order, that is not 0 is positive. For at most `dense` nodes, on the driver.
+    eigenvectors' own freedom: the first entry of each, in node order, that is not 0 is positive. Up to `dense` nodes numpy solves it on the driver; beyond, orthogonal
+    iteration over tables, one join and one sum a round, until both eigenvalues stand still.
     """
-    e = largest_component(edges).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("w").alias("w"))
-    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct().orderBy("node")
-    names = [r["node"] for r in nodes.limit(dense + 1).collect()]
-    if len(names) > dense:
-        raise ValueError(f"more than {dense} nodes: thin the graph first")
-    n, at = len(names), {x: i for i, x in enumerate(names)}
-    schema = f"node {edges.schema['a'].dataType.simpleString()}, theta double, r double"
+    e = cut(largest_component(edges).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("w").cast("double").alias("w")))
+    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    n = nodes.count()
+    kind = edges.schema["a"].dataType.simpleString()
     if n < 3:
-        return edges.sparkSession.createDataFrame([], schema)
-    w = np.zeros((n, n))
-    for r in e.collect():
-        w[at[r["a"]], at[r["b"]]] = w[at[r["b"]], at[r["a"]]] = r["w"]
-    d = w.sum(1)
-    lap = np.diag(d) - w
-    if normalised:
-        s = 1 / np.sqrt(d)
-        vec = np.linalg.eigh(s[:, None] * lap * s[None, :])[1] * s[:, None]
+        return edges.sparkSession.createDataFrame([], f"node {kind}, theta double, r double")
+    if n > dense:
+        xy = _iterated(e, normalised, rounds)
     else:
-        vec = np.linalg.eigh(lap)[1]
-    xy = vec[:, 1:3]
-    for c in range(2):
-        lead = np.flatnonzero(np.abs(xy[:, c]) > 1e-9)
-        if len(lead) and xy[lead[0], c] < 0:
-            xy[:, c] = -xy[:, c]
-    rad = np.hypot(xy[:, 0], xy[:, 1])
-    span = (rad.max() - rad.min()) or 1.0
-    rows = [(names[i], math.atan2(xy[i, 1], xy[i, 0]), float((rad[i] - rad.min()) / span)) for i in range(n)]
-    return edges.sparkSession.createDataFrame(rows, schema)
+        names = [r["node"] for r in nodes.orderBy("node").collect()]
+        at = {x: i for i, x in enumerate(names)}
+        w = np.zeros((n, n))
+        for r in e.collect():
+            w[at[r["a"]], at[r["b"]]] = w[at[r["b"]], at[r["a"]]] = r["w"]
+        d = w.sum(1)
+        lap = np.diag(d) - w
+        if normalised:
+            s = 1 / np.sqrt(d)
+            vec = np.linalg.eigh(s[:, None] * lap * s[None, :])[1] * s[:, None]
+        else:
+            vec = np.linalg.eigh(lap)[1]
+        xy = edges.sparkSession.createDataFrame([(names[i], float(vec[i, 1]), float(vec[i, 2])) for i in range(n)], f"node {kind}, x double, y double")
+    lead = xy.agg(*[F.min_by(c, F.when(F.abs(c) > 1e-9, F.col("node"))).alias(f"_{c}") for c in "xy"])
+    turned = xy.crossJoin(lead).select("node", *[F.when(F.col(f"_{c}") < 0, -F.col(c)).otherwise(F.col(c)).alias(c) for c in "xy"])
+    polar = turned.select("node", F.atan2("y", "x").alias("theta"), F.hypot("x", "y").alias("_r"))
+    span = polar.agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"))
+    r = F.when(F.col("_hi") == F.col("_lo"), 0.0).otherwise((F.col("_r") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    return polar.crossJoin(span).select("node", "theta", r.alias("r"))
+
+
+def _iterated(e: DataFrame, normalised: bool, rounds: int, tol: float = 1e-8) -> DataFrame:
+    """(node, x, y) by orthogonal iteration with the constant eigenvector taken out: of (I + D^-1/2 W D^-1/2) / 2, or of I - L / c."""
+    both = cut(both_ways(e))
+    deg = both.groupBy("node").agg(F.sum("w").alias("d"))
+    c, norm, n = (lambda r: (2 * r["m"], r["s"] ** 0.5, r["n"]))(deg.agg(F.max("d").alias("m"), F.sum("d").alias("s"), F.count("*").alias("n")).first())
+    t = F.sqrt("d") / norm if normalised else F.lit(1 / n**0.5)
+    start = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2000003)) / 1000001.5 - 1
+    cur = cut(deg.select("node", "d", t.alias("t"), start(1).alias("x"), start(2).alias("y")))
+    f = 1 / F.sqrt("d") if normalised else F.lit(1.0)
+    seen = (0.0, 0.0)
+    for k in range(rounds):
+        if k:
+            pull = both.join(cur.select(F.col("node").alias("other"), (F.col("x") * f).alias("px"), (F.col("y") * f).alias("py")), "other").groupBy("node").agg(F.sum(F.col("w") * F.col("px")).alias("qx"), F.sum(F.col("w") * F.col("py")).alias("qy"))
+            step = lambda v, q: (F.col(v) + F.col(q) * f) / 2 if normalised else ((c - F.col("d")) * F.col(v) + F.col(q)) / c
+            cur = cut(cur.join(pull, "node").select("node", "d", "t", step("x", "qx").alias("x"), step("y", "qy").alias("y")))
+        dots = cur.agg(*[F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in ("xt", "yt", "xx", "xy", "yy")]).first()
+        lx = max(dots["xx"] - dots["xt"] ** 2, 1e-300) ** 0.5
+        cross = (dots["xy"] - dots["xt"] * dots["yt"]) / lx
+        ly = max(dots["yy"] - dots["yt"] ** 2 - cross**2, 1e-300) ** 0.5
+        x = (F.col("x") - dots["xt"] * F.col("t")) / lx
+        cur = cur.select("node", "d", "t", x.alias("x"), ((F.col("y") - dots["yt"] * F.col("t") - cross * x) / ly).alias("y"))
+        if k > 5 and abs(lx - seen[0]) < tol and abs(ly - seen[1]) < tol:
+            break
+        seen = (lx, ly)
+    return cur.select("node", (F.col("x") * f).alias("x"), (F.col("y") * f).alias("y"))
 
 
 def in_interval(v: Column, lo: float | Column, hi: float | Column) -> Column:

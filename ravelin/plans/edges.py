@@ -84,11 +84,6 @@ def a12_weighted_degrees(spark, d):
     return overlap.weighted_degrees(data.star_edges(spark, d))
 
 
-@query("SELECT node, count(*) AS ties FROM (SELECT lower(repo) AS node, lower(title) AS t FROM repo_aggregates) WHERE t IS NOT NULL AND node IS NOT NULL GROUP BY 1")
-def counted_titles(spark, d):
-    return table(spark, d, "repo_aggregates").where("repo is not null and title is not null").groupBy(F.lower("repo").alias("node")).agg(F.count("*").alias("ties"))
-
-
 @query("SELECT regexp_extract(split_part(p, '/', -1), '([^#]*)$', 1) AS predicate, count(*) AS n FROM semrepo_nt WHERE p IS NOT NULL GROUP BY 1 ORDER BY n DESC, predicate")
 def a1_predicate_counts(spark, d):
     t = table(spark, d, "semrepo_nt").where("p is not null")
@@ -455,4 +450,44 @@ def k5_first_filled(spark, d):
     return resolve.first_filled([a, b], "key", "value")
 
 
+@query(f"SELECT repo, stargazers_count FROM {data.PAGES} ORDER BY stargazers_count DESC NULLS LAST, repo LIMIT 220")
+def t3_candidate_pool(spark, d):
+    """The pool of max(220, 2.2 n) best of which n are to be chosen, here for n = 100."""
+    n = 100
+    p = data.pages(spark, d).select("repo", "stargazers_count")
+    return p.orderBy(F.col("stargazers_count").desc_nulls_last(), "repo").limit(max(220, int(2.2 * n)))
+
+
+@query(
+    """SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY repo ORDER BY CASE lower(source) WHEN 'readme' THEN 0 WHEN 'changelog' THEN 1 WHEN 'wiki' THEN 2 END, doc_id) AS rn FROM documents WHERE repo IS NOT NULL AND lower(source) IN ('readme', 'changelog', 'wiki')) WHERE rn = 1"""
+)
+def w9_root_pick(spark, d):
+    """One file per repository, by the priority of its kind."""
+    k = F.lower("source")
+    t = table(spark, d, "documents").where(F.col("repo").isNotNull() & k.isin("readme", "changelog", "wiki"))
+    return resolve.first_n(t, ["repo"], [F.when(k == "readme", 0).when(k == "changelog", 1).otherwise(2), F.col("doc_id")], 1).select("doc_id")
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT lower(repo) AS node FROM repo_aggregates WHERE repo IS NOT NULL), x AS (SELECT DISTINCT lower(repo) AS a, lower(trim(unnest(topics))) AS coord FROM topics WHERE repo IS NOT NULL), y AS (SELECT regexp_extract(node, '/(.*)$', 1) AS coord, min(node) AS b FROM n GROUP BY 1)
+    SELECT a, b, count(DISTINCT x.coord) AS w FROM x JOIN y ON x.coord = y.coord WHERE a IN (SELECT node FROM n) AND a <> b GROUP BY ALL"""
+)
+def j5_used_packages(spark, d):
+    """Used packages, here tags that are a repository's bare name, as edges with the number of distinct packages."""
+    nodes = table(spark, d, "repo_aggregates").where("repo is not null").select(F.lower("repo").alias("node")).distinct()
+    res = nodes.groupBy(F.regexp_extract("node", "/(.*)$", 1).alias("coord")).agg(F.min("node").alias("repo"))
+    deps = table(spark, d, "topics").where("repo is not null").select(F.lower("repo").alias("repo"), F.explode("topics").alias("t")).select("repo", F.lower(F.trim("t")).alias("coord")).where("coord is not null").distinct()
+    none = spark.createDataFrame([], "alias string, canon string")
+    e = resolve.coordinate_edges(deps, res, resolve.lookup(nodes, none))
+    return overlap.folded([e]).select("a", "b", "w")
+
+
+@query("SELECT repo, min(place) AS place FROM (SELECT lower(repo) AS repo, doc_id AS place FROM documents WHERE repo IS NOT NULL UNION ALL SELECT lower(repo), record_id + 1000000 FROM topics WHERE repo IS NOT NULL) GROUP BY 1")
+def u2_source_union(spark, d):
+    """Several sources as one list, the first occurrence holding."""
+    a = table(spark, d, "documents").select(F.lower("repo").alias("repo"), F.col("doc_id").alias("place"))
+    b = table(spark, d, "topics").select(F.lower("repo").alias("repo"), (F.col("record_id") + 1000000).alias("place"))
+    return a.unionByName(b).where("repo is not null").groupBy("repo").agg(F.min("place").alias("place"))
+
+
 QUERIES, ORACLES = Q, SQL

@@ -108,22 +108,16 @@ def _topic_pmi(spark, d):
 
 @query()
 def g7_topic_angles(spark, d):
-    """Angles of the topics of the largest component of the hundred strongest tags' association graph."""
+    """Angles of the topics of the largest component of the association graph."""
     e = cut(_topic_pmi(spark, d))
-    return layout.spectral(_thinned(e))
-
-
-def _thinned(e, most=graph.DENSE):
-    """The edges among the nodes of greatest degree that dense algebra takes; all of them if they fit."""
-    deg = overlap.weighted_degrees(e).orderBy(F.col("degree").desc(), "node").limit(most).select("node")
-    return e.join(deg.withColumnRenamed("node", "a"), "a", "left_semi").join(deg.withColumnRenamed("node", "b"), "b", "left_semi")
+    return layout.spectral(e)
 
 
 @query()
 def g8_costar_angles(spark, d):
     from .edges import a9_costar_pmi
 
-    return layout.spectral(_thinned(cut(a9_costar_pmi(spark, d))), normalised=False)
+    return layout.spectral(cut(a9_costar_pmi(spark, d)), normalised=False)
 
 
 _ANGLE = "(SELECT event_type, 2 * pi() * (row_number() OVER (ORDER BY event_type) - 1) / 7 AS theta FROM (SELECT DISTINCT event_type FROM events WHERE event_type <> 'error'))"

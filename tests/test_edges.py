@@ -157,6 +157,17 @@ def test_spectral_uses_the_largest_component(spark):
     assert layout.spectral(spark.createDataFrame([("x", "y", 1.0)], e.schema)).count() == 0
 
 
+@pytest.mark.parametrize("normalised", [True, False])
+def test_spectral_in_tables_equals_dense(spark, normalised):
+    ring = [(f"n{i:02d}", f"n{(i + 1) % 12:02d}", 1.0 + 0.4 * (i == 3)) for i in range(12)] + [("n00", "n02", 2.0), ("n05", "n08", 0.3)]
+    e = spark.createDataFrame(ring, "a string, b string, w double")
+    dense = {r.node: (r.theta, r.r) for r in layout.spectral(e, normalised).collect()}
+    tables = {r.node: (r.theta, r.r) for r in layout.spectral(e, normalised, dense=2, rounds=250).collect()}
+    import math
+
+    assert all(abs(math.remainder(dense[k][0] - tables[k][0], 2 * math.pi)) < 0.1 and abs(dense[k][1] - tables[k][1]) < 0.1 for k in dense)
+
+
 def test_quota_and_priority(spark):
     from pyspark.sql import functions as F
 
