@@ -5,7 +5,8 @@
 2. Encoding: beam search over the sums of one word per book, by the exact error of the whole sum; the norm of the sum is stored.
 3. Cells are the first two words, at most 256^2; runs of neighbouring cells make blocks of some `BLOCK` vectors,
    and a larger cell is spread over several blocks. A vector visits the blocks of its nearest cells, as many as hold `reach` vectors.
-4. In a block, vectors are scored by lookup tables of the query's products with all words, the best `rerank` of them exactly.
+4. In a block, vectors are scored by lookup tables of the query's products with all words, the best `rerank` of them exactly; those that tie with the last one are kept whole,
+   and a list that ends among equal ones is made from the whole block.
 
 Work per vector is reach and block bound, so the whole grows with the number of vectors, not its square.
 """
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from ..runtime import cut, parts
 
 LEVELS, WORDS, BEAM, BLOCK, CHUNK = 6, 256, 4, 2048, 4096
+#: Vectors whose unit vectors agree in AXES fixed projections, in steps of GRID, are one direction: far below the 6 decimals, above float32's rounding.
+AXES, GRID = 8, 1e-7
 
 
 def usable(v: str, dim: int):
@@ -37,6 +40,12 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def direction(x: np.ndarray) -> np.ndarray:
+    """(n, AXES) whole numbers, alike for vectors that differ in their norm. Copies at a step's border may get several, which costs but loses nothing."""
+    axes = np.random.default_rng(11).normal(size=(x.shape[1], AXES))
+    return np.rint(unit(x) @ (axes / np.linalg.norm(axes, axis=0)) / GRID).astype(np.int64)
+
+
 def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
     c = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
@@ -123,7 +132,7 @@ def layout(counts: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray, np.n
 def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dim: int = 384, train_rows: int = 8192, reach: int = 800, rerank: int = 192, digits: int = 6, seed: int = 3) -> DataFrame:
     """(id, other, cos, rank): the k most similar others of every usable vector, by cosine rounded to `digits`, ties by smaller id.
 
-    vectors has one row per key. Equal vectors are one point of the index, so copies, of which there may be any number, cost one search;
+    vectors has one row per key. Vectors of one direction are one point of the index, so copies of any norm, of which there may be any number, cost one search;
     a copy's list is made of the smallest ids of its own and of the found points.
 
     Cases: null keys and unusable vectors (another length, a null, NaN or infinite part, all zero) are left out; a vector is no neighbour of itself; with fewer than
@@ -132,7 +141,15 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dim: int = 38
     spark = vectors.sparkSession
     more = k + 1
     ok = vectors.where(F.col(key).isNotNull() & usable(vector, dim)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    ok = ok.where(usable("v", dim)).withColumn("h", F.md5(F.concat(F.xxhash64("v").cast("string"), F.lit(" "), F.hash("v").cast("string"), F.lit(" "), F.array_join(F.slice("v", 1, 16), ","))))
+    ok = ok.where(usable("v", dim))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            h = pa.array([r.tobytes() for r in direction(v)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), h], names=["id", "v", "h"])
+
+    ok = cut(ok.mapInArrow(keyed, "id long, v array<float>, h binary"))  # read twice, and must then be the same
     heads = ok.groupBy("h").agg(F.min_by(F.struct("id", "v"), "id").alias("p"))
     member = cut(ok.select("h", "id").distinct())
     points = cut(heads.select("h", F.col("p.id").alias("id"), F.col("p.v").alias("v")).repartition(parts(spark)))
@@ -203,7 +220,11 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dim: int = 38
         ids = own["id"].to_numpy()
         x = unit(np.frombuffer(b"".join(own["v"]), np.float32).reshape(-1, dim))
         codes = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), q.m).astype(np.int64)
-        back = (1 / own["norm"].to_numpy()).astype(np.float32)
+        # equal codes have equal scores, to the bit
+        codes, which = np.unique(codes, axis=0, return_inverse=True)
+        which = which.reshape(-1)
+        back = np.zeros(len(codes), np.float32)
+        back[which] = 1 / own["norm"].to_numpy()
         asked, qs = ask["ask"].to_numpy(), np.frombuffer(b"".join(ask["asked"]), np.float32).reshape(-1, dim)
         # queries of one region come together: a slice's candidates are few, and one product reranks them all
         qs = unit(qs)
@@ -217,15 +238,27 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dim: int = 38
             for m in range(1, q.m):
                 score += t[:, m * q.k + codes[:, m]]
             score *= back
+            score = score[:, which]
             keep = min(rerank, len(ids))
-            best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
+            best = np.argpartition(-score, keep - 1, axis=1)
+            last = np.take_along_axis(score, best[:, keep - 1 : keep], 1)
+            tied = int((score >= last).sum(1).max())
+            best = best[:, :keep] if tied == keep else np.argpartition(-score, tied - 1, axis=1)[:, :tied]
             some = np.unique(best)
             exact = y @ x[some].T
             cos = np.round(np.take_along_axis(exact, np.searchsorted(some, best), 1), digits)
             other = ids[best]
             cos[other == who[:, None]] = -9
-            order = np.lexsort((other, -cos), axis=1)[:, :more]
+            order = np.lexsort((other, -cos), axis=1)[:, : more + 1]
             cos, other = np.take_along_axis(cos, order, 1), np.take_along_axis(other, order, 1)
+            if cos.shape[1] > more and tied < len(ids):
+                # the list ends among equal ones, of which the score may have left out some: these meet the whole block
+                for r in np.flatnonzero((cos[:, more - 1] == cos[:, more]) & (cos[:, more] > -9)):
+                    every = np.round(x @ y[r], digits)
+                    every[ids == who[r]] = -9
+                    first = np.lexsort((ids, -every))[: more + 1]
+                    cos[r], other[r] = every[first], ids[first]
+            cos, other = cos[:, :more], other[:, :more]
             real = cos > -9
             out.append((np.repeat(who, real.sum(1)), other[real], cos[real]))
         a, b, c = (np.concatenate(z) for z in zip(*out))

@@ -173,6 +173,22 @@ def test_nearest(spark):
     assert two == [(1, 2), (2, 1)]
 
 
+@pytest.mark.parametrize("noise", [0.0, 1e-5])
+def test_nearest_of_many_scaled_copies(spark, noise):
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(1500, 16))
+    copies = np.arange(2, 1500, 3)  # a third of the rows
+    x[copies] = x[2] * rnd.uniform(0.1, 9, size=(len(copies), 1)) * (1 + noise * rnd.normal(size=(len(copies), 16)))
+    x = x.astype(np.float32)
+    ids = rnd.permutation(1500)
+    df = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in zip(ids, x)], "id long, v array<float>")
+    got = {}
+    for r in neighbours.nearest(df, "id", "v", 5, dim=16).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.other)
+    low = sorted(ids[copies].tolist())[:6]
+    assert all(got[i] == [j for j in low if j != i][:5] for i in ids[copies].tolist())
+
+
 def test_blocks_split_large_cells():
     cells, size, first, many = neighbours.layout({5: 10, 7: 5000, 9: 3}, 256)
     assert cells.tolist() == [5, 7, 9] and many.tolist() == [1, 3, 1] and first.tolist() == [0, 1, 4]
