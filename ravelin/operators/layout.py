@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +59,8 @@ def spectral(edges: DataFrame, normalised: bool = True, dense: int = DENSE, roun
     """(node, theta, r): angle and radius of the second and third smallest eigenvectors of the Laplacian of the largest component.
 
     normalised solves L v = lambda D v, in which hubs keep their coordinates; r is the radius scaled to [0, 1]. Directions are fixed up to the
-    eigenvectors' own freedom: the first entry of each, in node order, that is not 0 is positive. Up to `dense` nodes numpy solves it on the driver; beyond, orthogonal
-    iteration over tables, one join and one sum a round, until both eigenvalues stand still.
+    eigenvectors' own freedom: the first entry of each, in node order, that is not 0 is positive. Up to `dense` nodes numpy solves it on the driver; beyond, LOBPCG
+    over tables, one join and one sum a round, until both residuals are small; not reaching that in `rounds` is an error.
     """
     e = cut(largest_component(edges).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("w").cast("double").alias("w")))
     nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -90,31 +92,94 @@ def spectral(edges: DataFrame, normalised: bool = True, dense: int = DENSE, roun
     return polar.crossJoin(span).select("node", "theta", r.alias("r"))
 
 
-def _iterated(e: DataFrame, normalised: bool, rounds: int, tol: float = 1e-8) -> DataFrame:
-    """(node, x, y) by orthogonal iteration with the constant eigenvector taken out: of (I + D^-1/2 W D^-1/2) / 2, or of I - L / c."""
+def _iterated(e: DataFrame, normalised: bool, rounds: int, tol: float = 1e-5, block: int = 6) -> DataFrame:
+    """(node, x, y) by LOBPCG over tables with the constant eigenvector taken out: of I - D^-1/2 W D^-1/2, or of D - W with D as preconditioner.
+
+    Ends when |Lv - lambda v| <= tol * lambda for both vectors, with Lv made anew; raises if that is not reached. A round is one join and one sum;
+    products of columns are summed by task and only small matrices come to the driver.
+    """
     both = cut(both_ways(e))
-    deg = both.groupBy("node").agg(F.sum("w").alias("d"))
-    c, norm, n = (lambda r: (2 * r["m"], r["s"] ** 0.5, r["n"]))(deg.agg(F.max("d").alias("m"), F.sum("d").alias("s"), F.count("*").alias("n")).first())
+    deg = cut(both.groupBy("node").agg(F.sum("w").alias("d")))
+    norm, most, n = (lambda r: (r["s"] ** 0.5, r["m"], r["n"]))(deg.agg(F.max("d").alias("m"), F.sum("d").alias("s"), F.count("*").alias("n")).first())
+    top = 1.0 if normalised else most
+    if normalised:
+        of = lambda c: deg.select(F.col("node").alias(c), F.col("d").alias(f"_{c}"))
+        both = cut(both.join(of("node"), "node").join(of("other"), "other").select("node", "other", (F.col("w") / F.sqrt(F.col("_node") * F.col("_other"))).alias("w")))
+    m = min(block, n - 1)
+    start = [F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2000003)) / 1000001.5 - 1 for k in range(m)]
+    none = [F.lit(0.0)] * m
     t = F.sqrt("d") / norm if normalised else F.lit(1 / n**0.5)
-    start = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2000003)) / 1000001.5 - 1
-    cur = cut(deg.select("node", "d", t.alias("t"), start(1).alias("x"), start(2).alias("y")))
-    f = 1 / F.sqrt("d") if normalised else F.lit(1.0)
-    seen = (0.0, 0.0)
-    for k in range(rounds):
-        if k:
-            pull = both.join(cur.select(F.col("node").alias("other"), (F.col("x") * f).alias("px"), (F.col("y") * f).alias("py")), "other").groupBy("node").agg(F.sum(F.col("w") * F.col("px")).alias("qx"), F.sum(F.col("w") * F.col("py")).alias("qy"))
-            step = lambda v, q: (F.col(v) + F.col(q) * f) / 2 if normalised else ((c - F.col("d")) * F.col(v) + F.col(q)) / c
-            cur = cut(cur.join(pull, "node").select("node", "d", "t", step("x", "qx").alias("x"), step("y", "qy").alias("y")))
-        dots = cur.agg(*[F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in ("xt", "yt", "xx", "xy", "yy")]).first()
-        lx = max(dots["xx"] - dots["xt"] ** 2, 1e-300) ** 0.5
-        cross = (dots["xy"] - dots["xt"] * dots["yt"]) / lx
-        ly = max(dots["yy"] - dots["yt"] ** 2 - cross**2, 1e-300) ** 0.5
-        x = (F.col("x") - dots["xt"] * F.col("t")) / lx
-        cur = cur.select("node", "d", "t", x.alias("x"), ((F.col("y") - dots["yt"] * F.col("t") - cross * x) / ly).alias("y"))
-        if k > 5 and abs(lx - seen[0]) < tol and abs(ly - seen[1]) < tol:
-            break
-        seen = (lx, ly)
-    return cur.select("node", (F.col("x") * f).alias("x"), (F.col("y") * f).alias("y"))
+    kind = deg.schema["node"].dataType.simpleString()
+    schema = f"node {kind}, c double, t double, s array<double>, a array<double>"
+    # s: X, W, P; a: AX, AP, with A = diag(c) - K
+    state = deg.select("node", (F.lit(1.0) if normalised else F.col("d")).alias("c"), t.alias("t"), F.array(*none, *start, *none).alias("s"), F.array(*none, *none).alias("a"))
+
+    def pulled(state: DataFrame, first: int, many: int) -> DataFrame:
+        far = both.join(state.select(F.col("node").alias("other"), "s"), "other")
+        sums = far.groupBy("node").agg(*[F.sum(F.col("w") * F.col("s")[first + k]).alias(f"_{k}") for k in range(many)])
+        return cut(state.join(sums.select("node", F.array(*[F.col(f"_{k}") for k in range(many)]).alias("q")), "node"))
+
+    def columns(b: pa.RecordBatch, fresh: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """c, the columns X, W, P, t and what A makes of them; fresh: q is of all columns, else of W."""
+        wide = lambda name: b.column(name).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
+        c, t, s, q = b.column("c").to_numpy()[:, None], b.column("t").to_numpy()[:, None], wide("s"), wide("q")
+        if fresh:
+            im = c * s - q
+        else:
+            im = np.hstack([wide("a")[:, :m], c * s[:, m : 2 * m] - q, wide("a")[:, m:]])
+        return c, np.hstack([s, t]), np.hstack([im, np.zeros_like(t)])
+
+    lam = np.zeros(m)
+    fresh = False
+    for _ in range(rounds):
+        full = pulled(state, 0, 3 * m) if fresh else pulled(state, m, m)
+
+        def products(batches: Iterator[pa.RecordBatch], fresh: bool = fresh, lam: np.ndarray = lam) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2 * (3 * m + 1) + 1, 3 * m + 1))
+            for b in batches:
+                _, s, im = columns(b, fresh)
+                total[: 3 * m + 1] += s.T @ s
+                total[3 * m + 1 : -1] += s.T @ im
+                total[-1, :m] += ((im[:, :m] - s[:, :m] * lam) ** 2).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["g"])
+
+        total = sum(np.frombuffer(r["g"]) for r in full.mapInArrow(products, "g binary").collect()).reshape(-1, 3 * m + 1)
+        gram, im = total[: 3 * m + 1], total[3 * m + 1 : -1]
+        near = (np.sqrt(total[-1, :2]) <= np.maximum(tol * lam[:2], 1e-12 * top)).all() and lam[0] > 0
+        if near and fresh:
+            x = full.select("node", "c", "t", F.col("s")[0].alias("x"), F.col("s")[1].alias("y"))
+            f = 1 / (F.col("t") * norm) if normalised else F.lit(1.0)
+            return x.select("node", (F.col("x") * f).alias("x"), (F.col("y") * f).alias("y"))
+        # Rayleigh-Ritz in the part of the columns' span that is orthogonal to t
+        out = np.vstack([np.eye(3 * m), -gram[-1:, :-1] / gram[-1, -1]])
+        g, h = out.T @ gram @ out, out.T @ ((im + im.T) / 2) @ out
+        size = np.sqrt(np.maximum(np.diag(g), 0))
+        live = size > 1e-150
+        scale = np.where(live, 1 / np.where(live, size, 1), 0)
+        val, vec = np.linalg.eigh(g * scale[:, None] * scale[None, :])
+        use = val > 1e-11
+        base = scale[:, None] * vec[:, use] / np.sqrt(val[use])
+        val, vec = np.linalg.eigh(base.T @ h @ base)
+        coef = np.zeros((3 * m, m))
+        k = min(m, len(val))
+        coef[:, :k] = base @ vec[:, :k]
+        lam = np.zeros(m)
+        lam[:k] = val[:k]
+        rest = coef.copy()
+        rest[:m] = 0
+        turn = np.hstack([out @ coef, out @ rest])
+
+        def turned(batches: Iterator[pa.RecordBatch], fresh: bool = fresh, lam: np.ndarray = lam, turn: np.ndarray = turn) -> Iterator[pa.RecordBatch]:
+            listed = lambda v: pa.FixedSizeListArray.from_arrays(pa.array(v.reshape(-1)), v.shape[1]).cast(pa.list_(pa.float64()))
+            for b in batches:
+                c, s, im = columns(b, fresh)
+                s, im = s @ turn, im @ turn
+                w = (im[:, :m] - s[:, :m] * lam) / c
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("c"), b.column("t"), listed(np.hstack([s[:, :m], w, s[:, m:]])), listed(im)], names=["node", "c", "t", "s", "a"])
+
+        fresh = bool(near)
+        state = full.mapInArrow(turned, schema)
+    raise RuntimeError(f"the eigenvectors did not settle in {rounds} rounds")
 
 
 def in_interval(v: Column, lo: float | Column, hi: float | Column) -> Column:

@@ -168,6 +168,23 @@ def test_spectral_in_tables_equals_dense(spark, normalised):
     assert all(abs(math.remainder(dense[k][0] - tables[k][0], 2 * math.pi)) < 0.1 and abs(dense[k][1] - tables[k][1]) < 0.1 for k in dense)
 
 
+@pytest.mark.parametrize("normalised", [True, False])
+def test_spectral_in_tables_settles(spark, normalised):
+    import math
+    import random
+
+    rnd = random.Random(3)
+    pairs = {(i, (i + j) % 300) for i in range(300) for j in (1, 2) if i % 300 < (i + j) % 300}  # a long path
+    pairs |= {(300, i) for i in range(0, 120)} | {tuple(sorted(rnd.sample(range(200, 300), 2))) for _ in range(200)}  # a hub and a lump
+    e = spark.createDataFrame([(f"n{a:03d}", f"n{b:03d}", 1.0 + rnd.random()) for a, b in sorted(pairs)], "a string, b string, w double")
+    dense = {r.node: (r.theta, r.r) for r in layout.spectral(e, normalised).collect()}
+    tables = {r.node: (r.theta, r.r) for r in layout.spectral(e, normalised, dense=2).collect()}
+    assert dense.keys() == tables.keys()
+    assert all(abs(r * math.remainder(t - tables[k][0], 2 * math.pi)) < 1e-3 and abs(r - tables[k][1]) < 1e-3 for k, (t, r) in dense.items())
+    with pytest.raises(RuntimeError):
+        layout.spectral(e, normalised, dense=2, rounds=3)
+
+
 def test_quota_and_priority(spark):
     from pyspark.sql import functions as F
 
