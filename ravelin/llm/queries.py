@@ -51,12 +51,18 @@ def p5_found(spark, d):
     return near.select(F.least("id", "other").alias("vec_a"), F.greatest("id", "other").alias("vec_b")).distinct()
 
 
+def _tag_pairs(spark, d, *bounds):
+    return together.surprising_pairs(_sets(spark, d, "topics", "record_id", "topics", "fetched_at"), "id", "items", *bounds)
+
+
 def p6_pairs(spark, d):
-    return together.surprising_pairs(_sets(spark, d, "topics", "record_id", "topics", "fetched_at"), "id", "items", 5, 3.0)
+    """Every pair of tags that occurs, ranked among all."""
+    return _tag_pairs(spark, d)
 
 
 def p6_found(spark, d):
-    return p6_pairs(spark, d).select(F.col("a").alias("topic_a"), F.col("b").alias("topic_b"))
+    """The pairs of a case; none of the columns that depend on the other pairs is given, so only pairs that can be a case are made."""
+    return _tag_pairs(spark, d, 5, 3.0).select(F.col("a").alias("topic_a"), F.col("b").alias("topic_b"))
 
 
 def _audiences(spark, d, least=500):

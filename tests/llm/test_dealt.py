@@ -233,6 +233,21 @@ def test_surprising_pairs(spark):
     assert together.surprising_pairs(df.where("id < 0"), "id", "items").count() == 0
 
 
+def test_pair_report_has_every_pair(spark, small):
+    from ravelin.llm import queries
+
+    baskets = [set(r["items"]) for r in queries._sets(spark, small, "topics", "record_id", "topics", "fetched_at").collect()]
+    want = {p for b in baskets for p in itertools.combinations(sorted(b), 2)}
+    got = {(r.a, r.b): r for r in queries.p6_pairs(spark, small).collect()}
+    assert set(got) == want and all(r.n_ab == sum(set(k) <= b for b in baskets) for k, r in got.items())
+    items = len(set().union(*baskets))
+    ps = np.array([r.p_value for r in got.values()])
+    rank = np.searchsorted(np.sort(ps), ps, side="right")
+    order = np.argsort(ps)
+    q = np.minimum(1, np.minimum.accumulate((ps * items * (items - 1) / 2 / rank)[order][::-1])[::-1])
+    assert np.allclose(np.array([r.q_value for r in got.values()])[order], q, rtol=1e-9)
+
+
 # ---------------------------------------------------------------- audiences
 
 
