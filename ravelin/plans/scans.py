@@ -32,6 +32,14 @@ def s1_parse_triples(spark, d):
     return triples.parse(lines).select("line_no", "s", "p", "o", "kind")
 
 
+@query("SELECT line_no, s, p, o, kind FROM semrepo_nt WHERE s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL AND kind IS NOT NULL")
+def s1_escaped_triples(spark, d):
+    """Every triple without nulls, written with escapes and parsed back."""
+    t = table(spark, d, "semrepo_nt")
+    lines = t.select("line_no", triples.render(F.col("s"), F.col("p"), F.col("o"), F.col("kind"), escaped=True).alias("value"))
+    return triples.parse(lines, escaped=True).select("line_no", "s", "p", "o", "kind")
+
+
 @query(
     f"""SELECT c.repo, count(*) AS triples FROM (SELECT lower(regexp_replace(s, '^https?://semrepo.example/repository/', '')) AS k FROM semrepo_nt) t
     JOIN (SELECT lower(repo) AS k, min(repo) AS repo FROM repo_aggregates WHERE repo IS NOT NULL GROUP BY 1) c ON c.k = t.k GROUP BY 1"""

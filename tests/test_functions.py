@@ -18,6 +18,16 @@ def test_triples(spark):
     assert sorted((r.line_no, r.o, r.kind) for r in got.collect()) == [(0, 'a \\"b\\"', "literal"), (2, "o", "uri"), (3, "x", "literal"), (4, "1", "literal")]
 
 
+def test_triples_come_back_from_their_lines(spark):
+    texts_ = ['"284"', "a\\", "\\n", "x\ny\r\tz", 'q"@en', '\\"', " ", "", "\\\\t"]
+    t = spark.createDataFrame([(i, "s", "p", o, "literal") for i, o in enumerate(texts_)] + [(99, "s", "p", "u", "uri")], "line_no int, s string, p string, o string, kind string")
+    lines = t.select("line_no", triples.render(F.col("s"), F.col("p"), F.col("o"), F.col("kind"), escaped=True).alias("value"))
+    assert not any(c in r.value for r in lines.collect() for c in "\n\r")
+    assert sorted(map(tuple, triples.parse(lines, escaped=True).select(t.columns).collect())) == sorted(map(tuple, t.collect()))
+    broken = spark.createDataFrame([('<s> <p> ""284"" .',)], "value string")
+    assert triples.parse(broken).count() == 0
+
+
 def test_uri_parts(spark):
     assert values(spark, uris.short_predicate, "http://purl.org/dc/terms/title", "http://x/y#type") == ["title", "type"]
     assert values(spark, uris.is_forge_node, "gitlab.freedesktop.org/xorg/lib/libx11", "psf/black") == [True, False]
