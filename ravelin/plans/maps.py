@@ -136,6 +136,27 @@ def a18_circular_means(spark, d):
     return got.select("repo", F.round("theta", 6).alias("theta"), F.round("r", 6).alias("r"))
 
 
+def _unit(c):
+    """A number in [0, 1) made of a text."""
+    return F.conv(F.substring(F.md5(c.cast("binary")), 1, 6), 16, 10).cast("long") / 16777216.0
+
+
+def _u(k):
+    return f"CAST('0x' || substr(md5({k}), 1, 6) AS bigint) / 16777216.0"
+
+
+@query(
+    f"""WITH t AS {data.REPO_TOPICS.strip()}, n AS (SELECT count(DISTINCT repo) AS n FROM t), c AS (SELECT topic, ln(any_value(n.n) / count(*)) AS w, {_u('topic')} * 6 AS a FROM t, n GROUP BY topic),
+    s AS (SELECT repo, sum(w * cos(a)) AS x, sum(w * sin(a)) AS y, sum(w) AS w FROM t JOIN c USING (topic) GROUP BY 1)
+    SELECT repo, CASE WHEN w <> 0 THEN round(atan2(y, x), 6) END AS theta, CASE WHEN w <> 0 THEN round(sqrt(x * x + y * y) / w, 6) ELSE 0.0 END AS r FROM s"""
+)
+def a18_topic_means(spark, d):
+    """Every repository of the topics table, its tags with angles by name."""
+    tags = data.repo_topics(spark, d)
+    angle = tags.select("topic").distinct().select("topic", (_unit(F.col("topic")) * 6).alias("theta"))
+    return layout.repo_angles(tags, angle).select("repo", F.round("theta", 6).alias("theta"), F.round("r", 6).alias("r"))
+
+
 @query(
     """SELECT label, count(*) AS members, round(sqrt(power(sum(cos(t)), 2) + power(sum(sin(t)), 2)) / count(*), 6) AS length FROM (SELECT label, atan2(CAST(embedding[2] AS double), CAST(embedding[1] AS double)) AS t FROM embeddings) GROUP BY 1 HAVING count(*) >= 2"""
 )
@@ -182,15 +203,6 @@ def clusters_in_band(spark, d):
     return b.select("user_id", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
-def _unit(c):
-    """A number in [0, 1) made of a text."""
-    return F.conv(F.substring(F.md5(c.cast("binary")), 1, 6), 16, 10).cast("long") / 16777216.0
-
-
-def _u(k):
-    return f"CAST('0x' || substr(md5({k}), 1, 6) AS bigint) / 16777216.0"
-
-
 _POINTS = f"""(SELECT repo AS node, t AS theta, r, h AS height, s AS stargazers, c AS cluster, r * 400 * cos(t) AS x, (h - 0.5) * 600 AS y, r * 400 * sin(t) AS z FROM
   (SELECT repo, {_u("repo || 't'")} * 2 * pi() AS t, {_u("repo || 'r'")} AS r, {_u("repo || 'h'")} AS h, stargazers_count AS s, coalesce(language, '?') AS c FROM {data.PAGES}))"""
 

@@ -29,5 +29,15 @@ def test_query(spark, con, small, name):
         assert sorted(rel.columns) == sorted(df.columns) and len(rel.fetchall()) == n
 
 
+def test_topic_means_cover_the_table(spark, con, small):
+    from ravelin.plans import data
+
+    name = "a18_topic_means"
+    got = sorted(map(tuple, registry.queries()[name](spark, small).select("repo", "theta", "r").collect()))
+    want = sorted(con.sql(registry.oracles()[name]).fetchall())
+    assert {g[0] for g in got} == {r.repo for r in data.repo_topics(spark, small).collect()}
+    assert all(g[0] == w[0] and g[1:] == pytest.approx(w[1:], abs=2e-6) for g, w in zip(got, want, strict=True))
+
+
 def test_flagship(spark, small):
     assert registry.flagship(spark, small).count() > 0
