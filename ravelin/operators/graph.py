@@ -347,18 +347,20 @@ def stable_ids(new: DataFrame, old: DataFrame, least: float = 0.5, most: int = 4
     return new.sparkSession.createDataFrame(rows, "level int, cluster string, stable_id string, matched boolean")
 
 
-def shortest_path(tiers: DataFrame, start: str, goal: str, max_hops: int = 12) -> DataFrame:
+def shortest_path(tiers: DataFrame, start: str, goal: str, max_hops: int | None = None) -> DataFrame:
     """(hop, node, tier): one shortest path over all tiers as one undirected graph; of several, by tier order, then smallest node at each step back.
 
-    tiers: (a, b, tier, rank). Frontier after frontier is joined with the edges; visited nodes never return.
+    tiers: (a, b, tier, rank). Frontier after frontier is joined with the edges until none is left; visited nodes never return. A bound of hops that is reached raises.
     """
     both = cut(tiers.select(F.col("a").alias("u"), F.col("b").alias("v"), "tier", "rank").unionByName(tiers.select(F.col("b").alias("u"), F.col("a").alias("v"), "tier", "rank")).where(F.col("u") != F.col("v")).distinct())
     spark = tiers.sparkSession
     seen = spark.createDataFrame([(start, 0, None, None)], "node string, hop int, prev string, tier string")
     front = seen
-    for hop in range(1, max_hops + 1):
-        if start == goal:
-            break
+    hop = 0
+    while start != goal:
+        if hop == max_hops:
+            raise RuntimeError(f"no path within {max_hops} hops, but there are nodes beyond")
+        hop += 1
         step = both.join(front.select(F.col("node").alias("u")), "u").join(seen.select(F.col("node").alias("v")), "v", "left_anti")
         front = cut(step.groupBy("v").agg(F.min_by(F.struct("u", "tier"), F.struct("rank", "u")).alias("p")).select(F.col("v").alias("node"), F.lit(hop).alias("hop"), F.col("p.u").alias("prev"), F.col("p.tier").alias("tier")))
         if front.isEmpty():
@@ -366,10 +368,8 @@ def shortest_path(tiers: DataFrame, start: str, goal: str, max_hops: int = 12) -
         seen = cut(seen.unionByName(front))
         if not front.where(F.col("node") == goal).isEmpty():
             break
-    else:
-        return spark.createDataFrame([], "hop int, node string, tier string")
     at, path = goal, []
-    while at is not None:  # one row a hop, at most max_hops
+    while at is not None:  # one row a hop
         r = seen.where(F.col("node") == at).first()
         path.append((r["hop"], r["node"], r["tier"]))
         at = r["prev"]

@@ -185,6 +185,15 @@ def test_spectral_in_tables_settles(spark, normalised):
         layout.spectral(e, normalised, dense=2, rounds=3)
 
 
+def test_shortest_path_of_many_hops(spark):
+    line = [(f"n{i:02d}", f"n{i + 1:02d}", "t", 0) for i in range(15)] + [("x", "y", "t", 0)]
+    e = spark.createDataFrame(line, "a string, b string, tier string, rank int")
+    assert [r.node for r in graph.shortest_path(e, "n00", "n15").orderBy("hop").collect()] == [f"n{i:02d}" for i in range(16)]
+    assert graph.shortest_path(e, "n00", "y").count() == 0
+    with pytest.raises(RuntimeError):
+        graph.shortest_path(e, "n00", "n15", max_hops=4)
+
+
 def test_quota_and_priority(spark):
     from pyspark.sql import functions as F
 
