@@ -54,7 +54,8 @@ def heights(edges: DataFrame, nodes: DataFrame | None = None, dense: int = DENSE
 
     L h = out - in with the Laplacian L of all edges, parallel and reciprocal ones added; of all solutions the one of least norm, which has mean 0 in each component;
     turned over if edges point down on average; height is raw scaled to [0, 1] over the graph, 0.5 if it is flat, null for
-    nodes without an edge. Up to `dense` nodes numpy solves it on the driver; beyond, conjugate gradients over tables, two joins a round.
+    nodes without an edge. Up to `dense` nodes numpy solves it on the driver; beyond, conjugate gradients over tables, two joins a round,
+    until the residual is tol of the right-hand side; not reaching that in `rounds` is an error.
     """
     e = cut(edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))))
     ends = e.select(F.col("a").alias("node"), F.lit(1.0).alias("v")).unionByName(e.select(F.col("b").alias("node"), F.lit(-1.0).alias("v")))
@@ -93,8 +94,9 @@ def _conjugate(e: DataFrame, base: DataFrame, rounds: int, tol: float) -> DataFr
     comp = cut(components(e))
     s = cut(base.select("node", "d", F.lit(0.0).alias("h"), F.col("v").alias("r"), F.col("v").alias("p")))
     rr = s.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
+    small = tol * tol * rr
     for _ in range(rounds):
-        if rr <= tol * tol:
+        if rr <= small:
             break
         pull = both.join(s.select("node", F.col("p").alias("pn")), "node").groupBy(F.col("u").alias("node")).agg(F.sum(F.col("k") * F.col("pn")).alias("q"))
         t = cut(s.join(pull, "node").withColumn("ap", F.col("d") * F.col("p") - F.col("q")))
@@ -103,6 +105,8 @@ def _conjugate(e: DataFrame, base: DataFrame, rounds: int, tol: float) -> DataFr
         new = t.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
         s = cut(t.select("node", "d", "h", "r", (F.col("r") + (new / rr) * F.col("p")).alias("p")))
         rr = new
+    if rr > small:
+        raise RuntimeError(f"heights did not settle in {rounds} rounds")
     return _centred(s.select("node", "h"), comp)
 
 

@@ -194,6 +194,12 @@ def test_shortest_path_of_many_hops(spark):
         graph.shortest_path(e, "n00", "n15", max_hops=4)
 
 
+def test_unsettled_heights_raise(spark):
+    e = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(30)] + [("n00", "n09")], "a string, b string")
+    with pytest.raises(RuntimeError):
+        graph.heights(e, dense=2, rounds=3)
+
+
 def test_quota_and_priority(spark):
     from pyspark.sql import functions as F
 
