@@ -124,13 +124,13 @@ _ANGLE = "(SELECT event_type, 2 * pi() * (row_number() OVER (ORDER BY event_type
 
 
 @query(
-    f"""WITH f AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 7 = 0), n AS (SELECT count(DISTINCT user_id) AS n FROM f), c AS (SELECT event_type, ln(any_value(n.n) / count(*)) AS w FROM f, n GROUP BY 1),
+    f"""WITH f AS (SELECT DISTINCT user_id, event_type FROM events), n AS (SELECT count(DISTINCT user_id) AS n FROM f), c AS (SELECT event_type, ln(any_value(n.n) / count(*)) AS w FROM f, n GROUP BY 1),
     s AS (SELECT user_id, sum(w * cos(theta)) AS x, sum(w * sin(theta)) AS y, sum(w) AS w FROM f JOIN c USING (event_type) JOIN {_ANGLE} USING (event_type) GROUP BY 1)
     SELECT f.user_id AS repo, CASE WHEN s.w > 0 THEN round(atan2(y, x), 6) END AS theta, CASE WHEN s.w > 0 THEN round(sqrt(x * x + y * y) / s.w, 6) ELSE 0.0 END AS r FROM (SELECT DISTINCT user_id FROM f) f LEFT JOIN s ON s.user_id = f.user_id"""
 )
 def a18_circular_means(spark, d):
-    """Users as repositories, event types as topics with angles; one type has none."""
-    e = table(spark, d, "events").where("event_id % 7 = 0")
+    """Users as repositories, event types as topics with angles; one type has none. A type that every user has weighs nothing."""
+    e = table(spark, d, "events")
     angle = spark.createDataFrame([(t, 2 * math.pi * i / 7) for i, t in enumerate(["click", "purchase", "signup", "view"])], "topic string, theta double")
     got = layout.repo_angles(e.select(F.col("user_id").alias("repo"), F.col("event_type").alias("topic")), angle)
     return got.select("repo", F.round("theta", 6).alias("theta"), F.round("r", 6).alias("r"))
