@@ -9,11 +9,62 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, running_sum
 
-#: Identifiers of one range; a set's part of a range is a sorted array of 16-bit offsets, packed to bits where it is met.
-RANGE_BITS = 16
-#: Sets of one block, and ranges of one lane: a task meets two blocks over one lane.
-BLOCK = 256
-LANE = 64
+#: Identifiers of one range; a set's part of a range is a container: sorted 16-bit offsets, or from DENSE of them on a bitmap.
+RANGE_BITS, DENSE = 16, 4096
+BITMAP = (1 << RANGE_BITS) // 8
+#: Sets of one block; bytes of the containers that two blocks have in one lane of ranges, so what a task holds is bounded whatever the sizes of sets.
+BLOCK, LANE_BYTES, PER_BOX = 256, 16 << 20, 64
+
+
+def pack(low: np.ndarray) -> bytes:
+    low = np.asarray(low, np.uint16)
+    if len(low) < DENSE:
+        return low.tobytes()
+    bits = np.zeros(1 << RANGE_BITS, bool)
+    bits[low] = True
+    return np.packbits(bits).tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    if len(b) < BITMAP:
+        return np.frombuffer(b, np.uint16)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8))).astype(np.uint16)
+
+
+def _grid(rows: np.ndarray, boxes: list[bytes], n: int) -> np.ndarray:
+    """(n, words) bitmaps of a whole range."""
+    out = np.zeros((n, BITMAP), np.uint8)
+    for r, b in zip(rows.tolist(), boxes):
+        if len(b) < BITMAP:
+            bits = np.zeros(1 << RANGE_BITS, bool)
+            bits[np.frombuffer(b, np.uint16)] = True
+            out[r] = np.packbits(bits)
+        else:
+            out[r] = np.frombuffer(b, np.uint8)
+    return out.view(np.uint64)
+
+
+def _grids(left: pd.DataFrame, right: pd.DataFrame, xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Bitmaps of both blocks over one range; where it is sparse only the identifiers that both hold get a place."""
+    side = [(np.searchsorted(names, p["_set"].to_numpy()), list(p["_bits"]), len(names)) for p, names in ((left, xs), (right, ys))]
+    if any(len(b) >= BITMAP for _, boxes, _ in side for b in boxes):
+        return _grid(*side[0]), _grid(*side[1])
+    flat = []
+    for rows, boxes, n in side:
+        bits = [unpack(b) for b in boxes]
+        flat.append((np.repeat(rows, [len(b) for b in bits]), np.concatenate(bits), n))
+    common = np.intersect1d(flat[0][1], flat[1][1])
+    if not len(common):
+        return None
+    out = []
+    for rows, cols, n in flat:
+        at = np.searchsorted(common, cols)
+        at[at == len(common)] = 0
+        ok = common[at] == cols
+        m = np.zeros((n, -(-len(common) // 64) * 64), bool)
+        m[rows[ok], at[ok]] = True
+        out.append(np.packbits(m, axis=1).view(np.uint64))
+    return out[0], out[1]
 
 
 def _meet(key: tuple, a: pd.DataFrame) -> pd.DataFrame:
@@ -25,31 +76,11 @@ def _meet(key: tuple, a: pd.DataFrame) -> pd.DataFrame:
     right_of = dict(list(right.groupby("_range")))
     for r, part in left.groupby("_range"):
         other = right_of.get(r)
-        if other is None:
+        met = _grids(part, other, xs, ys) if other is not None else None
+        if met is None:
             continue
-
-        def flat(p, names):
-            rows = np.searchsorted(names, p["_set"].to_numpy())
-            bits = [np.frombuffer(b, np.uint16) for b in p["_bits"]]
-            return np.repeat(rows, [len(b) for b in bits]), np.concatenate(bits)
-
-        (ri, ci), (rj, cj) = flat(part, xs), flat(other, ys)
-        # compressed: only the identifiers that both blocks hold get a place in the bitmaps
-        common = np.intersect1d(ci, cj)
-        if not len(common):
-            continue
-
-        def packed(rows, cols, n):
-            at = np.searchsorted(common, cols)
-            at[at == len(common)] = 0
-            ok = common[at] == cols
-            m = np.zeros((n, -(-len(common) // 64) * 64), bool)
-            m[rows[ok], at[ok]] = True
-            return np.packbits(m, axis=1).view(np.uint64)
-
-        used = np.unique(ri)
-        x, y = packed(ri, ci, len(xs)), packed(rj, cj, len(ys))
-        for i in used.tolist():
+        x, y = met
+        for i in np.flatnonzero(x.any(axis=1)).tolist():
             total[i] += np.bitwise_count(x[i] & y).sum(axis=1, dtype=np.int64)
     i, j = np.nonzero(np.triu(total, 1) if bi == bj else total)
     return pd.DataFrame({"x": xs[i], "y": ys[j], "n": total[i, j]})
@@ -60,7 +91,7 @@ def overlaps(members: DataFrame, set_key: str, member: str) -> DataFrame:
 
     Members are numbered by falling frequency, so hot members share the first ranges, where bitmaps are dense, and the long tail
     is sparse arrays; members of one set only count for sizes. Sets are numbered and dealt to blocks; a task holds the containers of two
-    blocks over a lane of ranges, ands their bitmaps and emits counts, so a member that a third of all sets hold costs bits, not pairs of rows.
+    blocks over a lane of ranges, of a bounded size, ands their bitmaps and emits counts, so a member that a third of all sets hold costs bits, not pairs of rows.
     Counts are summed over lanes.
 
     Cases: null sets and members are dropped; repeated rows count once; sets without members have no row; pairs without a common member have
@@ -77,14 +108,19 @@ def overlaps(members: DataFrame, set_key: str, member: str) -> DataFrame:
         F.array_sort(F.collect_list(F.col("_id").bitwiseAND((1 << RANGE_BITS) - 1).cast("int"))).alias("_low")
     )
 
-    def pack(batches):
+    def packed(batches):
         for b in batches:
-            yield b[["_set", "_range"]].assign(_bits=[np.asarray(x, np.uint16).tobytes() for x in b["_low"]])
-
-    boxes = cut(boxes.mapInPandas(pack, "_set int, _range long, _bits binary"))
-    blocks = -(-max(1, numbered.count()) // BLOCK)
+            yield b[["_set", "_range"]].assign(_bits=[pack(x) for x in b["_low"]])
+
+    boxes = cut(boxes.mapInPandas(packed, "_set int, _range long, _bits binary"))
+    sets = max(1, numbered.count())
+    blocks = -(-sets // BLOCK)
+    # ranges are cut into lanes where the containers of two average blocks reach LANE_BYTES
+    weight = boxes.groupBy("_range").agg(F.sum(F.length("_bits") + PER_BOX).alias("_w"))
+    most = int(LANE_BYTES * max(1.0, sets / (2 * BLOCK)))
+    lanes = running_sum(weight, [], [F.col("_range")], "_w", "_upto").select("_range", F.floor((F.col("_upto") - F.col("_w")) / most).cast("int").alias("_lane"))
     mine = F.floor(F.col("_set") / BLOCK).cast("int")
-    dealt = boxes.select("*", mine.alias("_b"), F.floor(F.col("_range") / LANE).cast("int").alias("_lane"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o"))
+    dealt = boxes.join(lanes, "_range").select("*", mine.alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o"))
     dealt = dealt.select(
         F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_lane", (F.col("_b") > F.col("_o")).cast("int").alias("_side"), "_set", "_range", "_bits"
     )
