@@ -49,8 +49,9 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
         ).join(want.select("source"), "source", "left_semi")
     )
     sizes = rows.groupBy("source").agg(F.sum("tokens").alias("size"))
-    plan = want.join(sizes, "source").crossJoin(sizes.agg(F.sum("size").alias("total")))  # one row of totals
-    budget = F.least(F.col("share") * F.col("total"), F.col("most") * F.col("size").cast("double"))
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    plan = want.join(sizes, "source")
+    budget = F.least(F.col("share") * F.lit(total), F.col("most") * F.col("size").cast("double"))
     plan = plan.select(
         "source",
         "most",
@@ -75,18 +76,15 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         F.sum(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("target_share")
     )
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    total = per.agg(F.coalesce(F.sum("available_tokens"), F.lit(0)).alias("total"))
-    return (
-        want.join(per, "source", "left")
-        .crossJoin(total)
-        .select(
-            "source",
-            "target_share",
-            z("available_tokens"),
-            (F.col("target_share") * F.col("total")).alias("target_tokens"),
-            z("mixed_tokens"),
-            F.when(F.col("total") > 0, F.coalesce(F.col("mixed_tokens"), F.lit(0)) / F.col("total")).otherwise(0.0).alias("actual_share"),
-            z("docs_used"),
-            z("max_uses"),
-        )
+    per = cut(per)  # a row for each source
+    total = per.agg(F.coalesce(F.sum("available_tokens"), F.lit(0))).first()[0]
+    return want.join(per, "source", "left").select(
+        "source",
+        "target_share",
+        z("available_tokens"),
+        (F.col("target_share") * F.lit(total)).alias("target_tokens"),
+        z("mixed_tokens"),
+        (F.coalesce(F.col("mixed_tokens"), F.lit(0)) / F.lit(max(total, 1))).alias("actual_share"),
+        z("docs_used"),
+        z("max_uses"),
     )

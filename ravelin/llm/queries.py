@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..runtime import cut, table
+from ..runtime import table
 from . import audiences, groups, mixing, neighbours, oracles, similar, spans, survivors, together, tokens
 
 
@@ -103,7 +103,7 @@ def p9_mix(spark, d):
 
 
 def p9_shares(spark, d):
-    return mixing.shares(cut(_mixed(spark, d)), table(spark, d, "mix_targets"))
+    return mixing.shares(_mixed(spark, d), table(spark, d, "mix_targets"))
 
 
 def p10_found(spark, d):
