@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, running_sum
 from .overlap import both_ways
 
 #: Nodes up to which dense linear algebra on the driver is used (n^2 doubles, 72 MB); larger graphs are solved in tables.
@@ -322,33 +322,34 @@ def stable_ids(new: DataFrame, old: DataFrame, least: float = 0.5, most: int = 4
     """(level, cluster, stable_id, matched): per level, the assignment of new to old clusters of greatest total Jaccard; pairs of at
     least `least` keep the old id, the others get ids after the highest number in use.
 
-    new, old: (level, cluster, member). Overlaps are counted in tables; only the sparse Jaccards come to the driver, and at most `most` clusters a level.
+    new, old: (level, cluster, member). Clusters without a common member are never matched, so the assignment is split by the connected components of
+    the overlaps, a task each; a component of more than `most` new or old clusters raises, as its assignment is dense.
     """
     n, o = new.select("level", F.col("cluster").alias("x"), "member").distinct(), old.select("level", F.col("cluster").alias("y"), "member").distinct()
     nx, ny = n.groupBy("level", "x").agg(F.count("*").alias("nx")), o.groupBy("level", "y").agg(F.count("*").alias("ny"))
     both = n.join(o, ["level", "member"]).groupBy("level", "x", "y").agg(F.count("*").alias("c")).join(nx, ["level", "x"]).join(ny, ["level", "y"])
-    jac: dict[int, dict] = {}
-    for r in both.select("level", "x", "y", (F.col("c") / (F.col("nx") + F.col("ny") - F.col("c"))).alias("j")).collect():
-        jac.setdefault(r["level"], {})[(r["x"], r["y"])] = r["j"]
-    names = lambda df, c: {lv: sorted(v) for lv, v in df.groupBy("level").agg(F.collect_set(c).alias("v")).collect()}
-    xs, ys = names(n, "x"), names(o, "y")
-    tail = [int(t) for v in [*xs.values(), *ys.values()] for c in v if (t := c.rsplit("/", 1)[-1]).isdigit()]
-    free, rows = max(tail, default=-1) + 1, []
-    for level in sorted(xs):
-        a, b = xs[level], ys.get(level, [])
+    both = cut(both.select("level", "x", "y", (F.col("c") / (F.col("nx") + F.col("ny") - F.col("c"))).alias("j"), F.concat_ws("|", F.lit("n"), "level", "x").alias("a"), F.concat_ws("|", F.lit("o"), "level", "y").alias("b")))
+    comp = components(both).select(F.col("node").alias("a"), "component")
+
+    def match(part):
+        a, b = sorted(set(part["x"])), sorted(set(part["y"]))
         if max(len(a), len(b)) > most:
-            raise ValueError(f"level {level} has more than {most} clusters")
-        keep: dict[str, str] = {}
-        if a and b:
-            score = np.zeros((len(a), len(b)))
-            ia, ib = {x: i for i, x in enumerate(a)}, {y: i for i, y in enumerate(b)}
-            for (x, y), v in jac.get(level, {}).items():
-                score[ia[x], ib[y]] = v
-            keep = {a[i]: b[j] for i, j in _assign(1 - score) if score[i, j] >= least}
-        for x in a:
-            rows.append((level, x, keep.get(x) or f"cluster/{level}/{free}", x in keep))
-            free += x not in keep
-    return new.sparkSession.createDataFrame(rows, "level int, cluster string, stable_id string, matched boolean")
+            raise ValueError(f"level {part['level'].iloc[0]} has more than {most} clusters that hang together")
+        score = np.zeros((len(a), len(b)))
+        ia, ib = {x: i for i, x in enumerate(a)}, {y: i for i, y in enumerate(b)}
+        for x, y, j in zip(part["x"], part["y"], part["j"]):
+            score[ia[x], ib[y]] = j
+        got = [(a[i], b[j]) for i, j in _assign(1 - score) if score[i, j] >= least]
+        return type(part)({"level": [part["level"].iloc[0]] * len(got), "x": [x for x, _ in got], "y": [y for _, y in got]}, dtype=object)
+
+    kinds = ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in ("level", "x", "y"))
+    kept = both.join(comp, "a").groupBy("level", "component").applyInPandas(match, kinds)
+    every = cut(nx.select("level", "x").join(kept, ["level", "x"], "left"))
+    number = F.regexp_extract(F.col("c"), r"(?:^|/)(\d+)$", 1).try_cast("long")
+    last = nx.select(F.col("x").alias("c")).unionByName(ny.select(F.col("y").alias("c"))).agg(F.coalesce(F.max(number), F.lit(-1))).first()[0]
+    fresh = running_sum(every.where(F.col("y").isNull()).withColumn("_one", F.lit(1)), [], [F.col("level"), F.col("x")], "_one", "_k")
+    fresh = fresh.select("level", F.col("x").alias("cluster"), F.concat(F.lit("cluster/"), F.col("level").cast("string"), F.lit("/"), (F.col("_k") + last).cast("string")).alias("stable_id"), F.lit(False).alias("matched"))
+    return every.where(F.col("y").isNotNull()).select("level", F.col("x").alias("cluster"), F.col("y").alias("stable_id"), F.lit(True).alias("matched")).unionByName(fresh)
 
 
 def shortest_path(tiers: DataFrame, start: str, goal: str, max_hops: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import explore, graph, identity, labels, layout, overlap, resolve
-from ..runtime import cut, table
+from ..runtime import cut, running_sum, table
 from . import data
 from .edges import _CAND
 
@@ -289,18 +289,22 @@ def a14_level_edges(spark, d):
     return graph.level_edges(data.star_edges(spark, d), m)
 
 
+def _kinds(spark, d, t: str):
+    """(level, cluster, member) of the repositories by two levels: language, and language with the first letter of the name."""
+    p = data.pages(spark, d).select(F.col("repo").alias("member"), F.coalesce("language", F.lit("?")).alias("l"), F.crc32("repo").alias("k"))
+    two = p.select("member", "k", F.explode(F.array(F.struct(F.lit(0).alias("level"), F.col("l").alias("name")), F.struct(F.lit(1).alias("level"), F.concat("l", F.lit(" "), F.substring("member", 1, 1)).alias("name")))).alias("x"))
+    rows = two.select("x.level", "x.name", "member", "k")
+    if t == "new":  # members move and clusters merge, and numbers mean something else
+        rows = rows.withColumn("name", F.when(F.pmod("k", F.lit(10)) == 0, "?").otherwise(F.col("name"))).withColumn("name", F.reverse("name"))
+    names = rows.select("level", "name").distinct().withColumn("_one", F.lit(1))
+    numbered = running_sum(names, ["level"], [F.col("name")], "_one", "i").select("level", "name", "i")
+    return rows.join(numbered, ["level", "name"]).select("level", F.concat(F.lit("cluster/"), F.col("level").cast("string"), F.lit("/"), F.col("i").cast("string")).alias("cluster"), "member")
+
+
 @query()
 def g13_stable_ids(spark, d):
-    """Clusters of two snapshots: by language, and by language with a tenth of the members moved and the numbers turned."""
-    from pyspark.sql import Window
-
-    p = data.pages(spark, d).select(F.col("repo").alias("member"), F.coalesce("language", F.lit("?")).alias("l"), F.pmod(F.crc32("repo"), F.lit(10)).alias("k"))
-    langs = p.select("l").distinct()
-    old = langs.withColumn("i", F.row_number().over(Window.orderBy("l")))
-    new = langs.withColumn("i", F.row_number().over(Window.orderBy(F.col("l").desc())))
-    name = lambda df, m: m.join(df, "l").select(F.lit(0).alias("level"), F.concat(F.lit("cluster/0/"), "i").alias("cluster"), "member")
-    moved = p.withColumn("l", F.when(F.col("k") == 0, "?").otherwise(F.col("l")))
-    return graph.stable_ids(name(new, moved), name(old, p))
+    """Clusters of two snapshots on two levels: in the later one a tenth of the members has moved and numbers are in another order."""
+    return graph.stable_ids(_kinds(spark, d, "new"), _kinds(spark, d, "old"))
 
 
 @query()
