@@ -52,21 +52,27 @@ def set_classes(sets: DataFrame, key: str, items: str) -> DataFrame:
     return h.join(first, "_h").select(key, items, F.size(items).alias("size"), "class")
 
 
-def contained_pairs(sets: DataFrame, key: str, items: str, min_shared: int, min_part: float) -> DataFrame:
-    """(a, b): pairs of sets with at least min_shared common items that make up at least min_part of the smaller set.
+#: Meetings of sets by one item up to which all are looked at; beyond, only those of sets that are not connected yet.
+HEAVY = 1_000_000
+
 
-    items: sorted distinct non-null arrays. Copies of one set are linked to one of them, so each link of different sets
-    is there and a chain of links joins all copies. If x is the smaller set of a pair, it shares at least c = max(min_shared,
-    ceil(min_part * |x|)) items, so one of its |x| - c + 1 rarest items is common: those are met with all items of the
-    larger sets, and the met pairs are counted exactly. Hot items are in the rarest part of few sets, so a
-    held-by-all item does not make all pairs.
+def contained_pairs(sets: DataFrame, key: str, items: str, min_shared: int, min_part: float) -> DataFrame:
+    """(a, b): pairs of sets with at least min_shared common items that make up at least min_part of the smaller set, as many as connect
+    all sets that such pairs connect.
+
+    items: sorted distinct non-null arrays. Copies of one set are linked to one of them. If x is the smaller set of a pair, it shares at
+    least c = max(min_shared, ceil(min_part * |x|)) items, so one of its |x| - c + 1 rarest items is common: those are met with all items of the
+    larger sets, and the met pairs are counted exactly. Hot items are in the rarest part of few sets, so a held-by-all item does not make
+    all pairs. Where near copies make an item meet more than HEAVY times, its sets are first compared with its largest one, and then
+    only sets of different components meet: those outside the item's commonest component with all, so a group of near copies, of any size,
+    costs a few rows a set.
     """
     classes = cut(set_classes(sets.where(F.size(items) >= min_shared), key, items))
     copies = classes.where(F.col(key) != F.col("class")).select(F.col("class").alias("a"), F.col(key).alias("b"))
     one = classes.where(F.col(key) == F.col("class")).select(F.col(key).alias("k"), "size", F.col(items).alias("items"))
     flat = one.select("k", "size", F.explode("items").alias("item"))
     freq = flat.groupBy("item").agg(F.count("*").alias("n"))
-    ranked = (
+    ranked = cut(
         flat.join(freq.where(F.col("n") > 1), "item")  # an item of one set is common to none, and comes first in the order
         .groupBy("k", "size")
         .agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("r"))
@@ -74,13 +80,32 @@ def contained_pairs(sets: DataFrame, key: str, items: str, min_shared: int, min_
     need = F.greatest(F.lit(min_shared), F.ceil(F.col("size") * F.lit(min_part) - 1e-9)).cast("int")
     alone = F.col("size") - F.size("r")
     head = F.col("size") - need + 1 - alone
-    rare = ranked.where(head > 0).select("k", "size", need.alias("need"), F.explode(F.slice("r", 1, head)).alias("i")).select("k", "size", "need", F.col("i.item").alias("item"))
+    rare = ranked.where(head > 0).select("k", "size", need.alias("need"), F.explode(F.slice("r", 1, head)).alias("i")).select("k", "size", "need", F.col("i.item").alias("item"), F.col("i.n").alias("n"))
     other = ranked.select(F.col("k").alias("k2"), F.col("size").alias("size2"), F.explode("r.item").alias("item"))
-    met = rare.join(other, "item").where((F.col("k") != F.col("k2")) & ((F.col("size") < F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("k") < F.col("k2")))))
-    met = met.select("k", "k2", "need").distinct()
+    heavy = rare.groupBy("item").agg(F.count("*").alias("m"), F.max("n").alias("n")).where(F.col("m") * F.col("n") > HEAVY).select("item")
+    heavy = cut(heavy)
+    larger = (F.col("k") != F.col("k2")) & ((F.col("size") < F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("k") < F.col("k2"))))
     x, y = one.select("k", F.col("items").alias("x")), one.select(F.col("k").alias("k2"), F.col("items").alias("y"))
-    pairs = met.join(x, "k").join(y, "k2").where(F.size(F.array_intersect("x", "y")) >= F.col("need")).select(F.col("k").alias("a"), F.col("k2").alias("b"))
-    return pairs.unionByName(copies)
+
+    def verified(met: DataFrame) -> DataFrame:
+        met = met.where(larger).select("k", "k2", "need").distinct()
+        return met.join(x, "k").join(y, "k2").where(F.size(F.array_intersect("x", "y")) >= F.col("need")).select(F.col("k").alias("a"), F.col("k2").alias("b"))
+
+    if heavy.isEmpty():
+        return verified(rare.join(other, "item")).unionByName(copies)
+    mine, theirs = rare.join(heavy, "item", "left_semi"), cut(other.join(heavy, "item", "left_semi"))
+    hub = theirs.groupBy("item").agg(F.max_by("k2", F.struct("size2", "k2")).alias("k2"), F.max("size2").alias("size2"))
+    first = cut(verified(mine.join(hub, "item")))
+    comp = cut(components(first))
+    mine = mine.join(comp.select(F.col("node").alias("k"), F.col("component").alias("c")), "k", "left").withColumn("c", F.coalesce("c", "k"))
+    theirs = theirs.join(comp.select(F.col("node").alias("k2"), F.col("component").alias("c2")), "k2", "left").withColumn("c2", F.coalesce("c2", "k2"))
+    mode = theirs.groupBy("item", "c2").agg(F.count("*").alias("n")).groupBy("item").agg(F.max_by("c2", F.struct("n", "c2")).alias("mode"))
+    mine, theirs = mine.join(mode, "item"), theirs.join(mode.select("item", F.col("mode").alias("mode2")), "item")
+    apart = F.col("c") != F.col("c2")
+    met = mine.where(F.col("c") != F.col("mode")).join(theirs, "item").where(apart).select("k", "k2", "size", "size2", "need")
+    met = met.unionByName(mine.where(F.col("c") == F.col("mode")).join(theirs.where(F.col("c2") != F.col("mode2")), "item").where(apart).select("k", "k2", "size", "size2", "need"))
+    light = rare.join(heavy, "item", "left_anti").join(other, "item").select("k", "k2", "size", "size2", "need")
+    return verified(light.unionByName(met)).unionByName(first).unionByName(copies)
 
 
 def object_ids(ids: Column) -> Column:
