@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut
 
-#: Words of the parity sketch.
-SKETCH = 4
+#: Words of the parity sketch; sets of a large node to which its sets are compared; comparisons of one task.
+SKETCH, PIVOTS, MEETINGS = 4, 2, 5_000_000
+#: Splits after which large nodes are searched for near copies.
+SPLITS = 2
+#: Large nodes up to which their list is broadcast; beyond, rows are shuffled to it.
+FEW = 100_000
 
 
 def clean_items(items: Column) -> Column:
@@ -52,7 +56,9 @@ def similar_pairs(
 
     A token that a third of all sets hold makes a large node, which is only a reason to split it further by tokens that differ:
     it is never paired. Sets that a large node's path already makes similar (their tokens off the path are so few that the path alone reaches
-    the threshold) are met there, which makes true pairs only.
+    the threshold) are met there, which makes true pairs only. Splitting does not part near copies: where a quarter or more of a node
+    that is still large after SPLITS splits is similar to one of PIVOTS of its sets, those are compared with the whole node, on salted tasks, and leave it; what
+    remains is split.
 
     Cases: null keys, null and empty sets have no pair; of rows with equal key and different sets each stands for itself, and a key is never paired with itself;
     repeated rows change nothing; an empty table gives no rows; extra columns are ignored.
@@ -73,6 +79,20 @@ def similar_pairs(
     level = light.select(*keep, "_t", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("_tree"), "_s").select(
         *keep, "_t", F.array().cast("array<long>").alias("_path"), F.xxhash64("_s", "_tree", F.lit(seed)).alias("_node")
     )
+    apart = (1 - threshold) / (1 + threshold)
+
+    def near(x: str, y: str) -> Column:
+        """What the sizes and sketches of similar sets fulfil; the columns' names end in x and y."""
+        differ = sum((F.bit_count(F.col(f"_w{i}{x}").bitwiseXOR(F.col(f"_w{i}{y}"))) for i in range(1, SKETCH)), F.bit_count(F.col(f"_w0{x}").bitwiseXOR(F.col(f"_w0{y}"))))
+        nx, ny = F.col(f"_n{x}"), F.col(f"_n{y}")
+        return (nx * F.lit(1.0) >= ny * threshold - 1e-9) & (ny * F.lit(1.0) >= nx * threshold - 1e-9) & (differ <= (nx + ny) * apart + 1e-9)
+
+    def named(df: DataFrame, end: str, *more: str) -> DataFrame:
+        return df.select("_node", *more, *[F.col(c).alias(f"{c}{end}") for c in keep])
+
+    def meet(x: DataFrame, y: DataFrame, *on: str) -> DataFrame:
+        return x.join(y, ["_node", *on]).where((F.col("_cx") != F.col("_cy")) & near("x", "y")).select(F.least("_cx", "_cy").alias("p"), F.greatest("_cx", "_cy").alias("q"))
+
     leaves: list[DataFrame] = []
     sure: list[DataFrame] = []
     for depth in range(max_depth):
@@ -81,36 +101,47 @@ def similar_pairs(
         down = cut(level.select(*keep, "_path", F.explode(ranked).alias("_x")).select(*keep, F.concat("_path", F.array("_x.t")).alias("_path"), F.col("_x.h").alias("_node")))
         sizes = down.groupBy("_node").agg(F.count("*").alias("_m")).where(F.col("_m") > 1)
         leaves.append(down.join(sizes.where(F.col("_m") <= leaf).select("_node"), "_node", "left_semi").select("_node", *keep))
-        hot = cut(sizes.where(F.col("_m") > leaf).select("_node"))
-        if hot.isEmpty():
+        hot = cut(sizes.where(F.col("_m") > leaf))
+        large = hot.count()
+        if not large:
             break
-        stay = down.join(hot, "_node", "left_semi")
+        hot = F.broadcast(hot) if large <= FEW else hot  # rows of 16 bytes
+        stay = down.join(hot.select("_node"), "_node", "left_semi")
         left = F.col("_n") - (depth + 1)
         spare = int((depth + 1) * (1 - threshold) / threshold + 1e-9)
         if spare:  # the path alone is enough for those with so few tokens off it
             few = stay.where(left <= spare).select("_node", F.col("_c").alias("p"), left.alias("rp"))
             too = few.select("_node", F.col("p").alias("q"), F.col("rp").alias("rq"))
             sure.append(few.join(too, "_node").where((F.col("p") < F.col("q")) & (F.col("rp") + F.col("rq") <= spare)).select("p", "q"))
-        level = stay.where(left > 0).join(tokens_of, "_c").select(*keep, F.array_except("_t", "_path").alias("_t"), "_path", "_node")
+        split = stay.where(left > 0)
+        level = split.join(tokens_of, "_c")
+        if depth < SPLITS:  # most nodes are parted by the first splits
+            level = level.select(*keep, F.array_except("_t", "_path").alias("_t"), "_path", "_node")
+            continue
+        # pivots: the sets of the least hashes; sketches tell where one may be similar to many, tokens where it is
+        of = [F.min_by("_c", F.xxhash64("_c", F.lit(seed + k))) for k in range(1, PIVOTS + 1)]
+        pivots = split.groupBy("_node").agg(F.array_distinct(F.array(*of)).alias("_v")).select("_node", F.explode("_v").alias("_c")).join(light.select(*keep), "_c")
+        alike = named(split, "x").join(named(pivots, "v"), "_node").where(near("x", "v")).groupBy("_node", "_cv").agg(F.count("*").alias("_b"))
+        dense = cut(alike.join(hot, "_node").where(F.col("_b") * 4 >= F.col("_m")).select("_node", "_cv", "_m"))
+        if not dense.isEmpty():
+            centres = dense.join(light.select(*[F.col(c).alias(f"{c}v") for c in keep], F.col("_t").alias("_tv")), "_cv")
+            common = F.size(F.array_intersect("_t", "_tv"))
+            balls = named(level.join(dense.select("_node").distinct(), "_node"), "x", "_t").join(centres, "_node").where(near("x", "v") & (common >= F.lit(threshold) * (F.col("_nx") + F.col("_nv") - common) - 1e-9))
+            balls = cut(balls.select("_node", "_cv", "_m", *[f"{c}x" for c in keep]))
+            dense = balls.groupBy("_node", "_cv", "_m").agg(F.count("*").alias("_b")).where(F.col("_b") * 4 >= F.col("_m"))
+            dense = cut(dense.groupBy("_node").agg(F.max_by("_cv", F.struct("_b", "_cv")).alias("_cv"), F.max(F.floor(F.col("_b") * F.col("_m") / MEETINGS)).alias("_salts")))
+            ball = balls.join(dense, ["_node", "_cv"]).select("_node", "_salts", *[f"{c}x" for c in keep])
+            x = ball.select("*", F.explode(F.sequence(F.lit(0), "_salts")).alias("_salt")).drop("_salts")
+            y = named(stay.join(dense.select("_node", "_salts"), "_node").withColumn("_salt", F.pmod(F.xxhash64("_c"), F.col("_salts") + 1)), "y", "_salt")
+            sure.append(meet(x, y, "_salt"))
+            level = level.join(ball.select("_node", F.col("_cx").alias("_c")), ["_node", "_c"], "left_anti")
+        level = level.select(*keep, F.array_except("_t", "_path").alias("_t"), "_path", "_node")
     else:
         leaves.append(level.select("_node", *keep))  # what depth could not split is compared as it is
     flat = leaves[0]
-    for x in leaves[1:]:
-        flat = flat.unionByName(x)
-    x = flat.select("_node", *[F.col(c).alias(f"{c}x") for c in keep])
-    y = flat.select("_node", *[F.col(c).alias(f"{c}y") for c in keep])
-    apart = (1 - threshold) / (1 + threshold)
-    differ = sum((F.bit_count(F.col(f"_w{i}x").bitwiseXOR(F.col(f"_w{i}y"))) for i in range(1, SKETCH)), F.bit_count(F.col("_w0x").bitwiseXOR(F.col("_w0y"))))
-    met = (
-        x.join(y, "_node")
-        .where(
-            (F.col("_cx") < F.col("_cy"))
-            & (F.col("_nx") * F.lit(1.0) >= F.col("_ny") * threshold - 1e-9)
-            & (F.col("_ny") * F.lit(1.0) >= F.col("_nx") * threshold - 1e-9)
-            & (differ <= (F.col("_nx") + F.col("_ny")) * apart + 1e-9)
-        )
-        .select(F.col("_cx").alias("p"), F.col("_cy").alias("q"))
-    )
+    for more in leaves[1:]:
+        flat = flat.unionByName(more)
+    met = named(flat, "x").join(named(flat, "y"), "_node").where((F.col("_cx") < F.col("_cy")) & near("x", "y")).select(F.col("_cx").alias("p"), F.col("_cy").alias("q"))
     for more in sure:
         met = met.unionByName(more)
     met = met.distinct()
