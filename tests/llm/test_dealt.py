@@ -54,6 +54,19 @@ def test_containment_links_all_copies(spark):
     assert _union(got) == _union(want) and got <= want
 
 
+@pytest.mark.parametrize("heavy", [4, 10**9])
+def test_near_copies_are_connected(spark, monkeypatch, heavy):
+    monkeypatch.setattr(groups, "HEAVY", heavy)
+    rnd = random.Random(8)
+    base = [f"b{i:02d}" for i in range(30)]
+    sets = {f"n{i:02d}": set(base) - {base[i % 30]} | {f"own{i}"} for i in range(40)}
+    sets |= {f"m{i}": set(rnd.sample(base, 12)) | {f"x{i}{j}" for j in range(rnd.randint(0, 3))} for i in range(12)} | {"hub": {"b00", "b01", *(f"h{i}" for i in range(60))}, "two": {"h1", "h2"}}
+    df = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "k string, i array<string>")
+    got = {tuple(sorted((r.a, r.b))) for r in groups.contained_pairs(df, "k", "i", 2, 0.9).collect()}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= max(2, 0.9 * min(len(sets[a]), len(sets[b])) - 1e-9)}
+    assert _union(got) == _union(want) and got <= want
+
+
 def test_repository_groups(spark):
     pages = "repo string, full_name string, fork boolean, parent_full_name string, status string, fetched_at long, group_id string"
     p = [
@@ -263,6 +276,21 @@ def test_overlaps(spark, monkeypatch, block):
     assert audiences.overlaps(df.where("k = 'none'"), "k", "m").count() == 0
 
 
+def test_dense_containers(spark, monkeypatch):
+    monkeypatch.setattr(audiences, "BLOCK", 2)
+    monkeypatch.setattr(audiences, "LANE_BYTES", 4096)
+    sets = {"a": range(0, 140000), "b": range(60000, 140000, 2), "c": range(5, 140000, 997), "d": range(100, 5000), "e": range(139990, 140050)}
+    df = None
+    for k, s in sets.items():
+        part = spark.range(s.start, s.stop, s.step).select(F.lit(k).alias("k"), F.col("id").alias("m"))
+        df = part if df is None else df.unionByName(part)
+    want = sorted((a, b, len(set(sets[a]) & set(sets[b])), len(sets[a]), len(sets[b])) for a, b in itertools.combinations(sorted(sets), 2) if set(sets[a]) & set(sets[b]))
+    assert rows(audiences.overlaps(df, "k", "m"), "a", "b", "common", "size_a", "size_b") == want
+    for n in (0, 1, 4095, 4096, 65536):
+        low = np.sort(np.random.default_rng(n).permutation(65536)[:n]).astype(np.uint16)
+        assert audiences.unpack(audiences.pack(low)).tolist() == low.tolist() and len(audiences.pack(low)) <= 8192
+
+
 # ---------------------------------------------------------------- tokens
 
 TEXTS = [None, "", " ", "a", "it's  we'll\r\n\n\n x", "<|endoftext|> x", "日本語のテキスト" * 40, "é́ \U0001f600‍\U0001f525" * 60, "x" * 5000, " " * 700 + "y", "  " * 300, "\x1c\x1d a" * 90, "can't" * 200, "1234567890" * 90, "def f(x):\n    return x\n\n" * 60, "\n" * 400 + "Version", "a.b,c;d:e!" * 80]
@@ -280,6 +308,24 @@ def test_ids_are_exact(spark):
     assert tokens.encode_documents(df.where("doc_id < 0")).count() == 0
 
 
+def test_ids_of_repeated_rows_and_null_keys(spark):
+    rnd = random.Random(7)
+    long = ["".join(rnd.choice(["word", " ", "\n\n", "'s", "é", "1", "漢", "字"]) for _ in range(900)) for _ in range(2)]
+    data = [(1, long[0]), (1, long[0]), (1, long[1]), (None, long[0]), (None, long[1]), (2, ""), (2, None), (3, "漢字" * 3000)]
+    enc = tokens.encoder(tokens.rank_file())
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.ids) for r in tokens.encode_documents(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    want = {(i is None, i or 0, tuple(enc.encode_ordinary(t or ""))) for i, t in data}
+    assert got == sorted((a, b, list(c)) for a, b, c in want)
+
+
+def test_ids_of_a_very_long_text(spark):
+    rnd = random.Random(2)
+    long = "".join(rnd.choice(["word ", "more  ", "\n", "é", "漢字", "x1"]) for _ in range(150_000))
+    got = tokens.encode_documents(spark.createDataFrame([(1, long), (2, long[1000:])], "doc_id long, text string")).collect()
+    enc = tokens.encoder(tokens.rank_file())
+    assert {r.doc_id: r.ids for r in got} == {1: enc.encode_ordinary(long), 2: enc.encode_ordinary(long[1000:])}
+
+
 def test_joins_at_every_place():
     j = tokens.Joiner(tokens.rank_file())
     for t in ["it's  we'll\r\n\n  don't stop 12ab..'s ", "a\n\nb  c\t\t d", "x'", " 'll  'l l  z"]:
@@ -366,6 +412,25 @@ def test_shared_spans(spark):
     assert spans.shared_spans(df.where("doc_id < 0")).count() == 0
 
 
+def test_spans_of_very_long_texts(spark):
+    rnd = random.Random(4)
+    a = "".join(rnd.choice("abcdefgh ijklmn漢😀") for _ in range(600_000))
+    b = a[100_000:500_000] + "".join(rnd.choice("opqrst") for _ in range(300)) + a[:250]
+    same = "y" * 700_000
+    df = spark.createDataFrame([(1, a), (2, b), (2, b), (3, same), (4, same[:300_000])], "doc_id long, text string")
+    assert rows(spans.shared_spans(df), "doc_id", "start_char", "end_char") == [(1, 0, 250), (1, 100_000, 500_000), (2, 0, 400_000), (2, 400_300, 400_550), (3, 0, 700_000), (4, 0, 300_000)]
+
+
+@pytest.mark.parametrize("block", [200, 1000])
+def test_pieces_hold_every_window_once(monkeypatch, block):
+    monkeypatch.setattr(spans, "BLOCK", block)
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("ab漢") for _ in range(n)) for n in (0, 199, 200, 201, 399, 400, 1999)]
+    seen = [(i, o + s, p[s : s + 200]) for i, t in enumerate(texts) for _, o, p, _, _ in spans._cut_text(i, t, 200) for s in range(len(p) - 199)]
+    assert sorted(seen) == [(i, s, t[s : s + 200]) for i, t in enumerate(texts) for s in range(len(t) - 199)]
+    assert all(len(p[2]) <= block + 199 for i, t in enumerate(texts) for p in spans._cut_text(i, t, 200))
+
+
 def test_rolling_hash_and_winnow():
     rnd = np.random.default_rng(1)
     x = rnd.integers(0, 3, 300).astype(np.uint32)
