@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import name_variants, version_candidates, version_core, version_matches
+from ..runtime import cut, running_sum
 
 
 def lookup(nodes: DataFrame, aliases: DataFrame, node: str = "node", alias: str = "alias", canon: str = "canon") -> DataFrame:
@@ -200,9 +201,9 @@ def own_manifests(files: DataFrame, path: str = "path", digest: str = "hash") ->
 def upper_median(df: DataFrame, value: str, out: str = "median") -> DataFrame:
     """The value at place n // 2 of the sorted non-null values, counted from 0: of an even number the upper middle one.
 
-    Found from counts per value, whose number is that of distinct values, not rows.
+    Found from counts per value, summed up over any number of tasks.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
-    total = counts.agg(F.sum("_c").alias("_n"))
-    upto = counts.crossJoin(total).withColumn("_upto", F.sum("_c").over(Window.orderBy(value)))
-    return upto.where(F.col("_upto") > F.floor(F.col("_n") / 2)).agg(F.min(value).alias(out))
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c")))
+    n = counts.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    upto = running_sum(counts, [], [F.col(value)], "_c", "_upto")
+    return upto.where(F.col("_upto") > n // 2).agg(F.min(value).alias(out))
