@@ -154,6 +154,16 @@ def test_similar_pairs(spark, leaf):
     assert similar.similar_pairs(df.where("id < 0"), "id", "items", 0.7).count() == 0
 
 
+def test_similar_pairs_of_many_near_copies(spark):
+    rnd = random.Random(6)
+    core = [f"c{i}" for i in range(60)]
+    sets = [set(core) - set(rnd.sample(core, rnd.randint(1, 8))) | {f"o{i}" for _ in range(2)} for i in range(150)]
+    sets += [{f"z{rnd.randint(0, 300)}" for _ in range(20)} | set(rnd.sample(core, 3)) for _ in range(150)]
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, items array<string>")
+    want = sorted((i, j) for (i, x), (j, y) in itertools.combinations(enumerate(sets), 2) if len(x & y) >= 0.7 * len(x | y) - 1e-9)
+    assert rows(similar.similar_pairs(df, "id", "items", 0.7), "a", "b") == want and len(want) > 10000
+
+
 def test_clean_items(spark):
     df = spark.createDataFrame([([" A ", "a", None, " ", "b\t"],), (None,), ([],)], "i array<string>")
     assert [r.c for r in df.select(similar.clean_items(F.col("i")).alias("c")).collect()] == [["a", "b"], None, []]
