@@ -31,8 +31,11 @@ def labels(terms: DataFrame, groups: DataFrame, group: str) -> DataFrame:
 
 
 def signatures(members: DataFrame, group: str, member: str) -> DataFrame:
-    """(group, signature): a digest of the sorted members; equal sets have equal ones."""
-    return members.groupBy(group).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(member)), "|"), 256).alias("signature"))
+    """(group, signature): a digest of the set of members; equal sets have equal ones. It is made of their number and of sums of
+    two hashes of each, so members of a group are never gathered; nulls are no members."""
+    m = members.where(F.col(member).isNotNull()).select(group, member).distinct()
+    total = F.sum(F.xxhash64(member).cast("decimal(20,0)"))
+    return m.groupBy(group).agg(F.sha2(F.concat_ws("|", F.count("*"), total, F.bit_xor(F.xxhash64(F.lit(1), member))), 256).alias("signature"))
 
 
 def cache_state(cache: DataFrame, current: DataFrame, group: str = "cluster") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import manifests, names, text, uris
-from ..operators import labels
+from ..operators import labels, resolve
 from ..runtime import table
 from . import data
 
@@ -200,7 +200,8 @@ def f26_subject_texts(spark, d):
     p = data.pages(spark, d).select("repo", "description")
     docs = table(spark, d, "documents").where("repo is not null and text is not null")
     para = docs.groupBy(F.lower("repo").alias("repo")).agg(F.min_by(text.first_paragraph(F.col("text")), "doc_id").alias("paragraph"))
-    titles = docs.where("lower(source) = 'issue'").groupBy(F.lower("repo").alias("repo")).agg(F.slice(F.array_sort(F.collect_list(F.struct("doc_id", F.substring_index("text", "\n", 1).alias("t")))), 1, 20).alias("i"))
+    first = resolve.first_n(docs.where("lower(source) = 'issue'").withColumn("repo", F.lower("repo")), ["repo"], [F.col("doc_id")], 20)
+    titles = first.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.substring_index("text", "\n", 1).alias("t")))).alias("i"))
     j = p.join(topics, "repo", "left").join(para, "repo", "left").join(titles, "repo", "left")
     return j.select("repo", text.subject_text(F.col("description"), F.col("topics"), F.col("paragraph"), F.transform("i", lambda x: x["t"])).alias("text"))
 

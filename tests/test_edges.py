@@ -214,3 +214,11 @@ def test_upper_median(spark):
 def test_cosine_edges(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None)], "k int, v array<double>")
     assert rows(overlap.cosine_edges(v, "k", "v", 0.7, block=2), "a", "b") == [(1, 2)]
+
+
+def test_signatures_tell_sets_apart(spark):
+    from ravelin.operators import labels
+
+    m = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "x"), ("b", "y"), ("b", "x"), ("b", None), ("c", "x"), ("d", "xy")], "cluster string, member string")
+    got = {r.cluster: r.signature for r in labels.signatures(m, "cluster", "member").collect()}
+    assert got["a"] == got["b"] and len({got["a"], got["c"], got["d"]}) == 3
