@@ -81,6 +81,9 @@ r AS (SELECT x.id AS a, y.id AS b, row_number() OVER (PARTITION BY x.id ORDER BY
 SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE k <= 5
 """
 
+P5_ALL = P5[: P5.index("SELECT DISTINCT least")] + "SELECT a AS id, b AS other, cos, CAST(k AS integer) AS rank FROM r WHERE k <= 5"
+P5_ALL = P5_ALL.replace("r AS (SELECT x.id AS a, y.id AS b,", "r AS (SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.e, y.e), 6) AS cos,")
+
 P10 = r"""
 WITH w AS (SELECT doc_id, i - 1 AS s, substr(text, i, 200) AS t FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
 h AS (SELECT t FROM w GROUP BY t HAVING min(doc_id) < max(doc_id)), m AS (SELECT doc_id, s FROM w WHERE t IN (SELECT t FROM h)),
@@ -90,4 +93,4 @@ SELECT doc_id, min(s) AS start_char, max(s) + 200 AS end_char FROM r GROUP BY do
 P10_SHARE = f"""WITH sp AS ({P10}), p AS (SELECT doc_id, sum(end_char - start_char) AS c FROM sp GROUP BY 1)
 SELECT d.doc_id, coalesce(length(text), 0) AS n_chars, coalesce(c, 0) AS shared_chars, CASE WHEN coalesce(length(text), 0) > 0 THEN coalesce(c, 0) / length(text) ELSE 0.0 END AS shared_fraction FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id"""
 
-ORACLES = {"p5_found": P5, "p10_found": P10, "p10_share": P10_SHARE, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p6_found": P6, "p7_found": P7, "p7_overlaps": P7_ALL}
+ORACLES = {"p5_found": P5, "p5_nearest": P5_ALL, "p10_found": P10, "p10_share": P10_SHARE, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p6_found": P6, "p7_found": P7, "p7_overlaps": P7_ALL}

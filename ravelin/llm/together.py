@@ -13,19 +13,22 @@ from ..runtime import cut, parts
 
 #: Items of one slice of a basket; pairs are made between slices, so a row makes at most SLICE^2 of them.
 SLICE = 32
+#: Counts up to which a tail is a product of polynomials.
+SHORT = 256
 
 
-def fit_null(item_freq: np.ndarray, item_n: np.ndarray, basket_size: np.ndarray, basket_n: np.ndarray, rounds: int = 2000, tol: float = 1e-9):
+def fit_null(item_freq: np.ndarray, item_n: np.ndarray, basket_size: np.ndarray, basket_n: np.ndarray, rounds: int = 2000, tol: float = 1e-9, rows: int = 4096):
     """x per item frequency, y per basket size of the bipartite configuration model: an item is in a basket
     with p = x y / (1 + x y), and expected frequencies and sizes are the given ones. Items of equal frequency share x, baskets of equal
-    size share y, so the system has as many unknowns as there are distinct frequencies and sizes."""
+    size share y, so the system has as many unknowns as there are distinct frequencies and sizes; `rows` frequencies are held against all sizes at a time."""
     f, s = item_freq.astype(float), basket_size.astype(float)
     m, n = item_n.astype(float), basket_n.astype(float)
     total = max((f * m).sum(), 1.0)
     x, y = f / np.sqrt(total), s / np.sqrt(total)
+    pieces = [slice(i, i + rows) for i in range(0, len(f), rows)]
     for _ in range(rounds):
-        x2 = f / np.maximum((n * y / (1 + np.outer(x, y))).sum(1), 1e-300)
-        y2 = s / np.maximum((m[:, None] * x2[:, None] / (1 + np.outer(x2, y))).sum(0), 1e-300)
+        x2 = np.concatenate([f[p] / np.maximum((n * y / (1 + np.outer(x[p], y))).sum(1), 1e-300) for p in pieces]) if pieces else x
+        y2 = s / np.maximum(sum((((m[p] * x2[p])[:, None] / (1 + np.outer(x2[p], y))).sum(0) for p in pieces), np.zeros(len(s))), 1e-300)
         change = max(np.max(np.abs(x2 - x) / np.maximum(x, 1e-300), initial=0), np.max(np.abs(y2 - y) / np.maximum(y, 1e-300), initial=0))
         x, y = np.minimum(x2, 1e12), np.minimum(y2, 1e12)
         if change < tol:
@@ -34,9 +37,10 @@ def fit_null(item_freq: np.ndarray, item_n: np.ndarray, basket_size: np.ndarray,
 
 
 def poisson_binomial_tail(k: int, q: np.ndarray, n: np.ndarray) -> float:
-    """P(X >= k) for a sum of n[i] trials of chance q[i] each, exactly: the product of the binomial generating functions.
+    """P(X >= k) for a sum of n[i] trials of chance q[i] each, exactly up to rounding, however far the tail and however many trials.
 
-    The distribution is needed from k up until it is negligible; the masses are non-negative and added from the small end, so far tails keep their digits.
+    Short distributions are the product of the binomial generating functions, from k up until they are negligible; the masses are
+    non-negative and added from the small end, so far tails keep their digits. Long ones are found from the characteristic function (_tilted).
     """
     live = (q > 0) & (n > 0)
     q, n = np.minimum(q[live], 1 - 1e-15), n[live]
@@ -46,6 +50,8 @@ def poisson_binomial_tail(k: int, q: np.ndarray, n: np.ndarray) -> float:
         return 0.0
     mean, var = float((n * q).sum()), float((n * q * (1 - q)).sum())
     top = int(min(n.sum(), max(k, mean) + 40 + 12 * np.sqrt(var + 1)))
+    if top > SHORT:
+        return _tilted(k, q, n)
     dist = np.ones(1)
     for qi, ni in zip(q, n):
         m = int(min(ni, top))
@@ -58,6 +64,38 @@ def poisson_binomial_tail(k: int, q: np.ndarray, n: np.ndarray) -> float:
     return float(min(1.0, dist[k:][::-1].sum())) if len(dist) > k else 0.0
 
 
+def _tilted(k: int, q: np.ndarray, n: np.ndarray) -> float:
+    """The tail by exponential tilting: with chances q e^t / (1 - q + q e^t) the mean is k, so the masses around k are the largest; they come from
+    the characteristic function over a range of 28 standard deviations, and P(X = j) is theirs times e^(-t j) times the generating function."""
+    if k == n.sum():
+        return float(np.exp((n * np.log(q)).sum()))
+    odds = (1 - q) / q
+    tilt = 0.0
+    if k > (n * q).sum():
+        low, high = 0.0, 1.0
+        while (n / (1 + odds * np.exp(-high))).sum() < k:
+            low, high = high, 2 * high
+        for _ in range(80):
+            tilt = (low + high) / 2
+            low, high = (tilt, high) if (n / (1 + odds * np.exp(-tilt))).sum() < k else (low, tilt)
+    chance = 1 / (1 + odds * np.exp(-tilt))
+    mean, width = float((n * chance).sum()), 28 * np.sqrt(float((n * chance * (1 - chance)).sum())) + 80
+    size = 1 << int(np.ceil(np.log2(width)))
+    turn = np.exp(2j * np.pi * np.arange(size // 2 + 1) / size)
+    logs = np.zeros(len(turn), complex)
+    for c, m in zip(chance, n):
+        logs += m * np.log1p(c * (turn - 1))
+    mass = np.maximum(np.fft.irfft(np.conj(np.exp(logs)), size), 0)
+    j = int(mean) - size // 2 + np.arange(size)
+    mass, j = mass[j % size], j
+    if not tilt:
+        return float(min(1.0, 1 - mass[(j < k) & (j >= 0)].sum())) if k > j[0] else 1.0
+    over = j >= k
+    inside = (mass[over] * np.exp(-tilt * (j[over] - k)))[::-1].sum()
+    grown = (n * (tilt + np.log(q + (1 - q) * np.exp(-tilt)))).sum() - tilt * k
+    return float(min(1.0, np.exp(np.log(inside) + grown))) if inside > 0 else 0.0
+
+
 def pair_counts(baskets: DataFrame, basket: str, items: str, min_count: int = 1, max_item_part: float | None = None) -> tuple[DataFrame, DataFrame, int]:
     """(pairs(a, b, n_ab, n_a, n_b), items(item, n), number of baskets) with exact counts.
 

@@ -230,10 +230,26 @@ def test_poisson_binomial_tail():
         assert together.poisson_binomial_tail(k, q, n) == pytest.approx(dist[k:].sum() if k else 1.0, rel=1e-9, abs=1e-15)
 
 
+def test_tails_of_large_counts(monkeypatch):
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        m = rng.integers(1, 8)
+        q, n = rng.random(m) ** 3, rng.integers(1, 300, m)
+        k = int(np.clip((n * q).sum() + 5 * rng.normal() * np.sqrt((n * q * (1 - q)).sum()), 1, n.sum()))
+        monkeypatch.setattr(together, "SHORT", 10**9)
+        direct = together.poisson_binomial_tail(k, q, n)
+        monkeypatch.setattr(together, "SHORT", 0)
+        assert together.poisson_binomial_tail(k, q, n) == pytest.approx(direct, rel=1e-10, abs=1e-290)
+    many = together.poisson_binomial_tail(100_050_000, np.full(30, 0.1), np.full(30, 33_350_000))
+    assert many == pytest.approx(0.5, abs=1e-3) and together.poisson_binomial_tail(10**8 + 10**6, np.full(3, 0.1), np.full(3, 333_333_334)) < 1e-300
+
+
 def test_null_honours_frequencies_and_sizes():
     f, m, s, n = np.array([1, 3, 10]), np.array([6, 4, 1]), np.array([1, 2, 4]), np.array([10, 5, 2])
     x, y = together.fit_null(f, m, s, n)
     p = np.outer(x, y) / (1 + np.outer(x, y))
+    in_parts = together.fit_null(f, m, s, n, rows=2)
+    assert np.allclose(in_parts[0], x, rtol=1e-12) and np.allclose(in_parts[1], y, rtol=1e-12)
     assert np.allclose((p * n).sum(1), f, rtol=1e-5) and np.allclose((p * m[:, None]).sum(0), s, rtol=1e-5)
 
 
