@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,21 +77,23 @@ def wide_rows(
     by_name = {n: a for a in attributes for n in a.names}
     field = F.coalesce(*[F.when(attribute == n, F.lit(a.field)) for n, a in by_name.items()])
     raw = value.cast("string")
-    rows = df.select(entity.alias("_e"), field.alias("_f"), raw.alias("_v"), F.struct(*order).alias("_o"))
-    by_parse: dict[Callable, list[str]] = {}
-    for a in attributes:
-        by_parse.setdefault(a.parse, []).append(a.field)
-    usable = F.coalesce(*[F.when(F.col("_f").isin(fs), f(F.col("_v")).isNotNull()) for f, fs in by_parse.items()])
+    parses = list(dict.fromkeys(a.parse for a in attributes))
+    rows = df.select(entity.alias("_e"), field.alias("_f"), raw.alias("_v"), F.struct(*order).alias("_o")).where(
+        F.col("_e").isNotNull() & F.col("_f").isNotNull() & F.col("_v").isNotNull()
+    )
+    # a typed column per parse; only the one of the row's attribute has a value
+    of = {f: [a.field for a in attributes if a.parse is f] for f in parses}
+    typed = rows.select("_e", "_f", "_o", F.struct(*[F.when(F.col("_f").isin(of[f]), f(F.col("_v"))).alias(f"_t{i}") for i, f in enumerate(parses)]).alias("_t"))
+    some = reduce(or_, [F.col(f"_t._t{i}").isNotNull() for i in range(len(parses))])
     cells = (
-        rows.where(F.col("_e").isNotNull() & F.col("_f").isNotNull() & F.col("_v").isNotNull())
-        .where(usable)
-        .groupBy("_e", "_f")
-        .agg(F.max_by("_v", "_o").alias("_v"))
-        .select("_e", "_v", "_f")
+        typed.groupBy("_e", "_f")
+        .agg(F.max_by("_t", F.when(some, F.col("_o"))).alias("_t"))  # a value that does not parse has no order and never wins
+        .where(F.col("_t").isNotNull())
+        .select("_e", *[F.col(f"_t._t{i}").alias(f"_t{i}") for i in range(len(parses))], "_f")
     )
     narrow = stored(cells, ["_f"])
     level = [
-        narrow.where(F.col("_f") == a.field).select(F.col("_e").alias(key), a.parse(F.col("_v")).alias(a.field))
+        narrow.where(F.col("_f") == a.field).select(F.col("_e").alias(key), F.col(f"_t{parses.index(a.parse)}").alias(a.field))
         for a in attributes
     ]
     while len(level) > 1:
