@@ -42,6 +42,15 @@ best AS (
 
 P3 = _P3 + "SELECT current_name, title, stargazers FROM best WHERE records > 1 AND title IS NOT NULL AND stargazers IS NOT NULL"
 
+P3_RECORDS = (
+    _P3
+    + """, rep AS (SELECT current_name, says::int AS t, CASE WHEN stargazers IS NULL OR stargazers < 0 THEN 0 WHEN stargazers = 10000 THEN 1 ELSE 2 END AS s, min(rank) AS r
+     FROM (SELECT * REPLACE (coalesce(says, false) AS says) FROM ranked) GROUP BY ALL),
+chain(current_name, t, s, r, n) AS (SELECT *, 1 FROM rep UNION ALL SELECT y.*, n + 1 FROM chain x JOIN rep y ON y.current_name = x.current_name AND x.t >= y.t AND x.s >= y.s AND x.r < y.r),
+deep AS (SELECT current_name, CAST(max(n) AS integer) AS layers FROM chain GROUP BY 1)
+SELECT current_name, title, stargazers, records, layers FROM best JOIN deep USING (current_name) WHERE records > 1 AND title IS NOT NULL AND stargazers IS NOT NULL"""
+)
+
 
 def _clean(t: str, key: str, items: str, time: str) -> str:
     return rf"""SELECT {key} AS id, list_sort(list_distinct(list_filter(list_transform(coalesce({items}, []), lambda x: lower(trim(x, E' \t\n\r'))), lambda x: x <> ''))) AS s
@@ -93,4 +102,4 @@ SELECT doc_id, min(s) AS start_char, max(s) + 200 AS end_char FROM r GROUP BY do
 P10_SHARE = f"""WITH sp AS ({P10}), p AS (SELECT doc_id, sum(end_char - start_char) AS c FROM sp GROUP BY 1)
 SELECT d.doc_id, coalesce(length(text), 0) AS n_chars, coalesce(c, 0) AS shared_chars, CASE WHEN coalesce(length(text), 0) > 0 THEN coalesce(c, 0) / length(text) ELSE 0.0 END AS shared_fraction FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id"""
 
-ORACLES = {"p5_found": P5, "p5_nearest": P5_ALL, "p10_found": P10, "p10_share": P10_SHARE, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p6_found": P6, "p7_found": P7, "p7_overlaps": P7_ALL}
+ORACLES = {"p5_found": P5, "p5_nearest": P5_ALL, "p10_found": P10, "p10_share": P10_SHARE, "p2_found": P2, "p3_found": P3, "p3_records": P3_RECORDS, "p4_found": P4, "p6_found": P6, "p7_found": P7, "p7_overlaps": P7_ALL}
