@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +38,44 @@ def _sketch(tokens: str, words: int = SKETCH) -> Column:
     )
 
 
+def _brute(threshold: float):
+    """Rows (node, class, size, sketch words), by node: the pairs of classes of a node whose sizes and sketches fit. A node's rows are few."""
+    apart = (1 - threshold) / (1 + threshold)
+
+    def pairs(x: np.ndarray) -> list[np.ndarray]:
+        node, c, n, w = x[:, 0], x[:, 1], x[:, 2], np.ascontiguousarray(x[:, 3:]).view(np.uint64)
+        ends = np.flatnonzero(np.append(node[1:] != node[:-1], True)) + 1
+        after = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(node)) - 1  # rows of the same node that follow
+        out, step, i = [], 1, np.flatnonzero(after > 0)
+        while len(i):
+            j = i + step
+            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            fit = (small >= large * threshold - 1e-9) & (c[i] != c[j])
+            p, q = i[fit], j[fit]
+            differ = np.bitwise_count(w[p] ^ w[q]).sum(axis=1, dtype=np.int64)
+            fit = differ <= (n[p] + n[q]) * apart + 1e-9
+            p, q = c[p[fit]], c[q[fit]]
+            out.append(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1))
+            step += 1
+            i = i[after[i] >= step]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.empty((0, 3 + SKETCH), np.int64)
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                rest = np.concatenate([rest, np.stack([c.to_numpy().astype(np.int64) for c in b.columns], axis=1)])
+            # the last node may go on in the next batch
+            cut_at = len(rest) if b is None else int(np.searchsorted(rest[:, 0], rest[-1, 0])) if len(rest) else 0
+            out = pairs(rest[:cut_at]) if cut_at else []
+            rest = rest[cut_at:]
+            if out:
+                got = np.unique(np.concatenate(out), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["p", "q"])
+
+    return run
+
+
 def similar_pairs(
     sets: DataFrame,
     key: str,
@@ -99,13 +142,13 @@ def similar_pairs(
         ranked = F.slice(F.array_sort(F.transform("_t", lambda t: F.struct(F.xxhash64("_node", t).alias("h"), t.alias("t")))), 1, branch)
         # what goes down has its path, not its tokens: few rows are in large nodes, and only these fetch them again
         down = cut(level.select(*keep, "_path", F.explode(ranked).alias("_x")).select(*keep, F.concat("_path", F.array("_x.t")).alias("_path"), F.col("_x.h").alias("_node")))
-        sizes = down.groupBy("_node").agg(F.count("*").alias("_m")).where(F.col("_m") > 1)
-        leaves.append(down.join(sizes.where(F.col("_m") <= leaf).select("_node"), "_node", "left_semi").select("_node", *keep))
-        hot = cut(sizes.where(F.col("_m") > leaf))
+        hot = cut(down.groupBy("_node").agg(F.count("*").alias("_m")).where(F.col("_m") > leaf))
         large = hot.count()
         if not large:
+            leaves.append(down.select("_node", *keep))
             break
         hot = F.broadcast(hot) if large <= FEW else hot  # rows of 16 bytes
+        leaves.append(down.join(hot.select("_node"), "_node", "left_anti").select("_node", *keep))
         stay = down.join(hot.select("_node"), "_node", "left_semi")
         left = F.col("_n") - (depth + 1)
         spare = int((depth + 1) * (1 - threshold) / threshold + 1e-9)
@@ -137,11 +180,12 @@ def similar_pairs(
             level = level.join(ball.select("_node", F.col("_cx").alias("_c")), ["_node", "_c"], "left_anti")
         level = level.select(*keep, F.array_except("_t", "_path").alias("_t"), "_path", "_node")
     else:
-        leaves.append(level.select("_node", *keep))  # what depth could not split is compared as it is
+        rest = cut(level.select("_node", *keep))  # what depth could not split is compared as it is
+        sure.append(meet(named(rest, "x"), named(rest, "y")).where("p < q"))
     flat = leaves[0]
     for more in leaves[1:]:
         flat = flat.unionByName(more)
-    met = named(flat, "x").join(named(flat, "y"), "_node").where((F.col("_cx") < F.col("_cy")) & near("x", "y")).select(F.col("_cx").alias("p"), F.col("_cy").alias("q"))
+    met = flat.repartition("_node").sortWithinPartitions("_node").mapInArrow(_brute(threshold), "p long, q long")
     for more in sure:
         met = met.unionByName(more)
     met = met.distinct()
