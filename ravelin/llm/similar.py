@@ -38,6 +38,44 @@ def _sketch(tokens: str, words: int = SKETCH) -> Column:
     )
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return x ^ (x >> np.uint64(33))
+
+
+def _branches(branch: int, keep: list[str]):
+    """Each row's ways down: its `branch` smallest tokens by a hash of node and token, which is the next node; the path grows by the token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("_t").offsets.to_numpy().astype(np.int64)
+            tokens = b.column("_t").values.to_numpy().view(np.uint64)[: at[-1]]
+            size = np.diff(at)
+            live = np.flatnonzero(size)
+            if not len(live):
+                continue
+            h = _mix(tokens ^ np.repeat(_mix(b.column("_node").to_numpy().view(np.uint64)), size))
+            owner, open_, places = np.repeat(np.arange(len(live)), size[live]), h.copy(), []
+            for k in range(branch):
+                least = np.minimum.reduceat(open_, at[:-1][live])
+                here = np.flatnonzero(open_ == least[owner])
+                here = here[np.unique(owner[here], return_index=True)[1]]
+                open_[here] = np.uint64(0xFFFFFFFFFFFFFFFF)
+                places.append(here[size[live] > k])
+            place = np.concatenate(places)
+            row = live[owner[place]]
+            path = b.column("_path").flatten().to_numpy().reshape(len(b), -1)[row]  # of one length on a level
+            path = np.hstack([path, tokens[place].view(np.int64)[:, None]])
+            ends = pa.array(np.arange(len(row) + 1, dtype=np.int32) * path.shape[1])
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c).take(pa.array(row)) for c in keep), pa.ListArray.from_arrays(ends, pa.array(path.reshape(-1))), pa.array(h[place].view(np.int64))], names=[*keep, "_path", "_node"]
+            )
+
+    return run
+
+
 def _brute(threshold: float):
     """Rows (node, class, size, sketch words), by node: the pairs of classes of a node whose sizes and sketches fit. A node's rows are few."""
     apart = (1 - threshold) / (1 + threshold)
@@ -118,6 +156,7 @@ def similar_pairs(
     light = classes.select("_c", F.size("_t").alias("_n"), "_t", _sketch("_t").alias("_w"), F.xxhash64("_s").alias("_s"))
     light = light.select("_c", "_n", "_t", *[F.col("_w")[i].alias(f"_w{i}") for i in range(SKETCH)], "_s")
     keep = ["_c", "_n", *[f"_w{i}" for i in range(SKETCH)]]
+    row = ", ".join(f"{c} {light.schema[c].dataType.simpleString()}" for c in keep) + ", _path array<bigint>, _node bigint"
     tokens_of = light.select("_c", "_t")
     level = light.select(*keep, "_t", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("_tree"), "_s").select(
         *keep, "_t", F.array().cast("array<long>").alias("_path"), F.xxhash64("_s", "_tree", F.lit(seed)).alias("_node")
@@ -139,9 +178,8 @@ def similar_pairs(
     leaves: list[DataFrame] = []
     sure: list[DataFrame] = []
     for depth in range(max_depth):
-        ranked = F.slice(F.array_sort(F.transform("_t", lambda t: F.struct(F.xxhash64("_node", t).alias("h"), t.alias("t")))), 1, branch)
         # what goes down has its path, not its tokens: few rows are in large nodes, and only these fetch them again
-        down = cut(level.select(*keep, "_path", F.explode(ranked).alias("_x")).select(*keep, F.concat("_path", F.array("_x.t")).alias("_path"), F.col("_x.h").alias("_node")))
+        down = cut(level.select(*keep, "_t", "_path", "_node").mapInArrow(_branches(branch, keep), row))
         hot = cut(down.groupBy("_node").agg(F.count("*").alias("_m")).where(F.col("_m") > leaf))
         large = hot.count()
         if not large:
