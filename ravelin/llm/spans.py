@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, parts
 
 PHRASE = 64
-#: Phrases of one automaton, some 3 KB each; code points that one task streams through it; code points of a block, and of a piece of a long text.
+#: Phrases of one automaton, some 3 KB each; code points that one lane streams through it; code points of a block, and of a piece of a long text.
 SHARD_PHRASES, LANE_CHARS, BLOCK = 8000, 4_000_000, 1 << 18
 #: Code points of the text that one shard key covers.
 PASSAGE = 1 << 18
@@ -283,7 +283,8 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     texts = texts.select("_shard", F.pmod(F.xxhash64("_doc"), "_lanes").cast("int").alias("_lane"), "_doc", "_text")
     phrases = held.where(F.size("_gives") > 0).select("_text", "_gives").mapInArrow(_phrases(min(PHRASE, least)), "_shard int, _text string")
     phrases = phrases.join(lanes, "_shard").select("_shard", F.explode(F.sequence(F.lit(0), F.col("_lanes") - 1)).alias("_lane"), F.lit(None).cast("long").alias("_doc"), "_text")
-    tasks = max(1, lanes.agg(F.coalesce(F.sum("_lanes"), F.lit(1))).first()[0])
+    # a task takes several lanes one after the other where there are more than 16 a shuffle partition
+    tasks = min(16 * parts(docs.sparkSession), max(1, lanes.agg(F.coalesce(F.sum("_lanes"), F.lit(1))).first()[0]))
     feed = (
         phrases.unionByName(texts)
         .repartition(tasks, "_shard", "_lane")

@@ -438,6 +438,18 @@ def test_shared_spans(spark):
     assert spans.shared_spans(df.where("doc_id < 0")).count() == 0
 
 
+def test_spans_over_many_shards_and_lanes(spark, monkeypatch):
+    monkeypatch.setattr(spans, "SHARD_PHRASES", 2)
+    monkeypatch.setattr(spans, "LANE_CHARS", 700)
+    monkeypatch.setattr(spans, "parts", lambda _: 1)
+    rnd = random.Random(12)
+    word = lambda n: "".join(rnd.choice("abcdefghij klm漢") for _ in range(n))
+    passages = [word(rnd.choice([200, 230, 400, 900])) for _ in range(12)]
+    docs = [(i, "".join(x for _ in range(rnd.randint(1, 4)) for x in (word(rnd.randint(0, 120)), rnd.choice(passages)[rnd.randint(0, 40) :]))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(spans.shared_spans(df), "doc_id", "start_char", "end_char") == _brute(docs, 200)
+
+
 def test_spans_of_very_long_texts(spark):
     rnd = random.Random(4)
     a = "".join(rnd.choice("abcdefgh ijklmn漢😀") for _ in range(600_000))
