@@ -200,18 +200,17 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dim: int = 38
                     c = near[r][before[r] < reach]
                     seen = {f + e for f, m in zip(first[c].tolist(), many[c].tolist()) for e in range(m)}
                     visits.append(sorted(seen))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(home.astype(np.int32)), pa.array(visits, pa.list_(pa.int32()))], names=["id", "home", "visits"])
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in ("id", "v", "code", "norm")), pa.array(home.astype(np.int32)), pa.array(visits, pa.list_(pa.int32()))], names=["id", "v", "code", "norm", "home", "visits"]
+            )
 
-    placed = cut(coded.select("id", "v", "cell").mapInArrow(place, "id long, home int, visits array<int>"))
+    placed = cut(coded.mapInArrow(place, "id long, v binary, code binary, norm float, home int, visits array<int>"))
     load = placed.select(F.explode("visits").alias("block")).groupBy("block").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    members = coded.join(placed.select("id", F.col("home").alias("block")), "id").join(load, "block").select(
+    members = placed.select(F.col("home").alias("block"), "id", "v", "code", "norm").join(load, "block").select(
         "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "v", "code", "norm"
     )
-    asks = placed.select(F.col("id").alias("ask"), F.explode("visits").alias("block")).join(load, "block")
-    asks = asks.select("ask", "block", F.pmod(F.xxhash64("ask"), "chunks").cast("int").alias("chunk"))
-    asks = asks.join(coded.select(F.col("id").alias("ask"), F.col("v").alias("asked")), "ask").select(
-        F.col("block").alias("to"), F.col("chunk").alias("part"), "ask", "asked"
-    )
+    asks = placed.select(F.col("id").alias("ask"), F.col("v").alias("asked"), F.explode("visits").alias("block")).join(load, "block")
+    asks = asks.select(F.col("block").alias("to"), F.pmod(F.xxhash64("ask"), "chunks").cast("int").alias("part"), "ask", "asked")
 
     def search(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(ask):
