@@ -13,7 +13,7 @@ from ..runtime import cut, running_sum
 RANGE_BITS, DENSE = 16, 4096
 BITMAP = (1 << RANGE_BITS) // 8
 #: Sets of one block; bytes of the containers that two blocks have in one lane of ranges, so what a task holds is bounded whatever the sizes of sets.
-BLOCK, LANE_BYTES, PER_BOX = 256, 16 << 20, 64
+BLOCK, LANE_BYTES, PER_BOX = 256, 32 << 20, 64
 
 
 def pack(low: np.ndarray) -> bytes:
@@ -113,13 +113,11 @@ def overlaps(members: DataFrame, set_key: str, member: str) -> DataFrame:
             yield b[["_set", "_range"]].assign(_bits=[pack(x) for x in b["_low"]])
 
     boxes = cut(boxes.mapInPandas(packed, "_set int, _range long, _bits binary"))
-    sets = max(1, numbered.count())
-    blocks = -(-sets // BLOCK)
-    # ranges are cut into lanes where the containers of two average blocks reach LANE_BYTES
-    weight = boxes.groupBy("_range").agg(F.sum(F.length("_bits") + PER_BOX).alias("_w"))
-    most = int(LANE_BYTES * max(1.0, sets / (2 * BLOCK)))
-    lanes = running_sum(weight, [], [F.col("_range")], "_w", "_upto").select("_range", F.floor((F.col("_upto") - F.col("_w")) / most).cast("int").alias("_lane"))
+    blocks = -(-max(1, numbered.count()) // BLOCK)
+    # ranges are cut into lanes where the containers of two blocks may reach LANE_BYTES: a range weighs what its largest block holds there
     mine = F.floor(F.col("_set") / BLOCK).cast("int")
+    weight = boxes.groupBy("_range", mine.alias("_b")).agg(F.sum(F.length("_bits") + PER_BOX).alias("_w")).groupBy("_range").agg(F.max("_w").alias("_w"))
+    lanes = running_sum(weight, [], [F.col("_range")], "_w", "_upto").select("_range", F.floor((F.col("_upto") - F.col("_w")) / (LANE_BYTES // 2)).cast("int").alias("_lane"))
     dealt = boxes.join(lanes, "_range").select("*", mine.alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o"))
     dealt = dealt.select(
         F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_lane", (F.col("_b") > F.col("_o")).cast("int").alias("_side"), "_set", "_range", "_bits"
