@@ -3,12 +3,14 @@
 1. Codebooks: `LEVELS` full-dimensional books of residual k-means over at most `train_rows` vectors (a documented bound: the
    books are fitted on a sample, every vector is encoded and searched).
 2. Encoding: beam search over the sums of one word per book, by the exact error of the whole sum; the norm of the sum is stored.
-3. Cells are the first two words, at most 256^2; runs of neighbouring cells make blocks of some `BLOCK` vectors,
-   and a larger cell is spread over several blocks. A vector visits the blocks of its nearest cells, as many as hold `reach` vectors.
+3. Cells are those of k-means centres over the same sample, one for some `CELL` vectors; runs of neighbouring cells make blocks of some `BLOCK` vectors,
+   and a larger cell is spread over several blocks. A vector visits the blocks of its nearest cells, `PROBES` at least and as many as hold `reach` vectors.
 4. In a block, vectors are scored by lookup tables of the query's products with all words, the best `rerank` of them exactly; those that tie with the last one are kept whole,
    and a list that ends among equal ones is made from the whole block.
+5. Vectors whose lists hang together by entries of at least `NEAR` meet as a whole, exactly: so two halves of a cluster that cells have parted are joined by any one
+   of them that has found the other half. Groups are what `HOPS` steps reach; one of more than BLOCK vectors is dealt to several.
 
-Work per vector is reach and block bound, so the whole grows with the number of vectors, not its square.
+Work per vector is reach and block bound, so the whole grows with the number of vectors, not its square, up to CELL * CELLS vectors; beyond, cells grow.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from ..runtime import cut, parts
 
 LEVELS, WORDS, BEAM, BLOCK, CHUNK = 6, 256, 4, 2048, 4096
+CELL, CELLS, PROBES, NEAR, HOPS = 512, 2048, 4, 0.5, 3
 #: Vectors whose unit vectors agree in AXES fixed projections, in steps of GRID, are one direction: far below the 6 decimals, above float32's rounding.
 AXES, GRID = 8, 1e-7
 
@@ -57,19 +60,28 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) ->
     return c
 
 
+def chained(c: np.ndarray) -> np.ndarray:
+    """The rows in an order in which neighbours are near."""
+    left, chain = np.arange(1, len(c)), [0]
+    while len(left):
+        at = int(np.argmin(((c[left] - c[chain[-1]]) ** 2).sum(1)))
+        chain.append(int(left[at]))
+        left = np.delete(left, at)
+    return c[chain]
+
+
+def centres(x: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Unit vectors, one for each CELL of n vectors, CELLS at most, in an order in which neighbours are near."""
+    c = k_means(x.astype(np.float32), max(1, min(n // CELL, CELLS, len(x) // 2)), np.random.default_rng(seed))
+    return chained(c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9))
+
+
 def train(x: np.ndarray, levels: int, words: int, seed: int) -> np.ndarray:
-    """(levels, words, dim) residual codebooks; the first is put in an order in which neighbours are near."""
+    """(levels, words, dim) residual codebooks."""
     rng, rest, books = np.random.default_rng(seed), x.astype(np.float32), []
     k = max(1, min(words, len(x) // 2))
-    for level in range(levels):
+    for _ in range(levels):
         c = k_means(rest, k, rng)
-        if level == 0:
-            left, chain = set(range(1, k)), [0]
-            while left:
-                cand = np.fromiter(left, int)
-                chain.append(int(cand[np.argmin(((c[cand] - c[chain[-1]]) ** 2).sum(1))]))
-                left.remove(chain[-1])
-            c = c[chain]
         books.append(c)
         rest = rest - c[np.argmax(rest @ c.T - 0.5 * (c * c).sum(1), axis=1)]
     return np.stack(books)
@@ -108,7 +120,7 @@ class Quantiser:
         return q.astype(np.float32) @ self.flat.T
 
 
-def layout(counts: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def layout(counts: dict[int, int], k: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """cells, their sizes, the first block and the number of blocks of each; cells in order, blocks of about BLOCK vectors."""
     cells = np.array(sorted(counts), np.int64)
     size = np.array([counts[c] for c in cells.tolist()], np.int64)
@@ -159,6 +171,7 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dim: int = 38
         return spark.createDataFrame([], schema)
     x = sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     shared = spark.sparkContext.broadcast(train(unit(x), LEVELS, WORDS, seed))
+    middles = spark.sparkContext.broadcast(centres(unit(x), points.count(), seed))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = Quantiser(shared.value)
@@ -167,22 +180,19 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dim: int = 38
                 s = b.slice(at, 1024)
                 v = s.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32)
                 codes, norms = q.encode(unit(v))
-                second = codes[:, 1].astype(np.int64) if q.m > 1 else 0
+                cell = np.argmax(unit(v).astype(np.float32) @ middles.value.T, axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [s.column("id"), pa.array([r.tobytes() for r in v], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(norms.astype(np.float32)), pa.array((codes[:, 0].astype(np.int64) * WORDS + second).astype(np.int32))],
+                    [s.column("id"), pa.array([r.tobytes() for r in v], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(norms.astype(np.float32)), pa.array(cell.astype(np.int32))],
                     names=["id", "v", "code", "norm", "cell"],
                 )
 
     coded = cut(points.select("id", "v").mapInArrow(encode, "id long, v binary, code binary, norm float, cell int"))
-    counts = {r["cell"]: r["n"] for r in coded.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most WORDS^2 rows
-    plan = spark.sparkContext.broadcast(layout(counts, WORDS))
+    counts = {r["cell"]: r["n"] for r in coded.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most CELLS rows
+    plan = spark.sparkContext.broadcast(layout(counts))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = Quantiser(shared.value)
         cells, size, first, many = plan.value
-        i, j = cells // WORDS, cells % WORDS
-        two = q.m > 1
-        half = 0.5 * (q.sq[0][i] + (q.sq[1][j] + 2 * q.gram[0, i, 1, j] if two else 0))
+        middle = middles.value[cells].T
         for b in batches:
             ids = b.column("id").to_numpy()
             mine = np.searchsorted(cells, b.column("cell").to_numpy())
@@ -190,14 +200,13 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dim: int = 38
             visits: list[list[int]] = []
             v = np.frombuffer(b"".join(b.column("v").to_pylist()), np.float32).reshape(-1, dim)
             for at in range(0, len(v), 256):
-                t = q.table(unit(v[at : at + 256])).reshape(-1, q.m, q.k)
-                s = t[:, 0][:, i] + (t[:, 1][:, j] if two else 0) - half
+                s = unit(v[at : at + 256]).astype(np.float32) @ middle
                 top = min(512, len(cells))
                 near = np.argpartition(-s, top - 1, axis=1)[:, :top]
                 near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1), 1)
                 before = np.cumsum(size[near], axis=1) - size[near]
                 for r in range(len(near)):
-                    c = near[r][before[r] < reach]
+                    c = near[r][(before[r] < reach) | (np.arange(top) < PROBES)]
                     seen = {f + e for f, m in zip(first[c].tolist(), many[c].tolist()) for e in range(m)}
                     visits.append(sorted(seen))
             yield pa.RecordBatch.from_arrays(
@@ -265,7 +274,25 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dim: int = 38
 
     hits = members.groupBy("block", "chunk").cogroup(asks.groupBy("to", "part")).applyInPandas(search, "id long, other long, cos double")
     # bounded: k + 1 of each visited block
-    lists = hits.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cos")).alias("d"), "other"))), 1, more).alias("l"))
+    best = lambda h: h.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct((-F.col("cos")).alias("d"), "other")))), 1, more).alias("l"))
+    found = cut(best(hits)).select("id", F.explode("l").alias("e")).select("id", F.col("e.other").alias("other"), (-F.col("e.d")).alias("cos"))
+    label = _hanging(found.where(F.col("cos") >= NEAR).select("id", "other"))
+    sizes = label.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    dealt = label.join(sizes, "label").select("id", "label", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).alias("part"))
+    whole = placed.select("id", "v").join(dealt, "id").repartition(parts(spark), "label", "part").sortWithinPartitions("label", "part", "id").select("label", "part", "id", "v")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, v in _runs(batches):
+            x = unit(np.frombuffer(b"".join(v), np.float32).reshape(-1, dim))
+            keep = min(more, len(ids) - 1)
+            for at in range(0, len(x) if keep else 0, 256):
+                cos = np.round(x[at : at + 256] @ x.T, digits)
+                n = np.arange(len(cos))
+                cos[n, at + n] = -9
+                order = np.argsort(-cos, axis=1, kind="stable")[:, :keep]  # ids rise
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 256], keep)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(cos, order, 1).ravel())], names=["id", "other", "cos"])
+
+    lists = best(found.unionByName(whole.mapInArrow(meet, "id long, other long, cos double")))
     near = points.select("id", "h").join(lists, "id", "left")
     # the smallest ids of every point: more than k of one point can't be in a list
     ranked = member.withColumn("_n", F.row_number().over(_by_h())).where(F.col("_n") <= more)
@@ -278,6 +305,31 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dim: int = 38
     return each.select("id", F.posexplode("l").alias("rank", "e")).select("id", F.col("e.o").alias("other"), (-F.col("e.d")).alias("cos"), (F.col("rank") + 1).alias("rank"))
 
 
+def _hanging(pairs: DataFrame) -> DataFrame:
+    """(id, label): the smallest id that HOPS steps along pairs (id, other), either way, lead to."""
+    both = cut(pairs.select("id", "other").unionByName(pairs.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct())
+    label = both.groupBy("id").agg(F.min("other").alias("o")).select("id", F.least("id", "o").alias("label"))
+    for _ in range(HOPS - 1):
+        near = both.join(label.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("o"))
+        label = cut(label.join(near, "id").select("id", F.least("label", "o").alias("label")))
+    return label
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """(ids, vectors) of each run of equal (label, part)."""
+    last, ids, vectors = None, [], []
+    for b in batches:
+        for key, i, v in zip(zip(b.column("label").to_pylist(), b.column("part").to_pylist()), b.column("id").to_pylist(), b.column("v").to_pylist()):
+            if key != last and ids:
+                yield np.array(ids, np.int64), vectors
+                ids, vectors = [], []
+            last = key
+            ids.append(i)
+            vectors.append(v)
+    if ids:
+        yield np.array(ids, np.int64), vectors
+
+
 def _by_h():
     from pyspark.sql import Window
 

@@ -212,6 +212,24 @@ def test_nearest_of_many_scaled_copies(spark, noise):
     assert all(got[i] == [j for j in low if j != i][:5] for i in ids[copies].tolist())
 
 
+def test_nearest_over_many_blocks(spark, monkeypatch):
+    """Small clusters over many more cells than a vector visits: halves that cells have parted are found."""
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    monkeypatch.setattr(neighbours, "WORDS", 8)
+    monkeypatch.setattr(neighbours, "CELL", 16, raising=False)
+    rnd = np.random.default_rng(8)
+    centre = rnd.normal(size=(250, 96))
+    x = (np.repeat(centre, 8, axis=0) + rnd.uniform(0.3, 0.55, size=(2000, 1)) * rnd.normal(size=(2000, 96))).astype(np.float32)
+    ids = rnd.permutation(2000)
+    df = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in zip(ids, x)], "id long, v array<float>")
+    got = set(rows(neighbours.nearest(df, "id", "v", 5, dim=96, reach=1), "id", "other"))
+    y = neighbours.unit(x)
+    cos = np.round(y @ y.T, 6)
+    np.fill_diagonal(cos, -9)
+    want = {(int(ids[i]), int(ids[j])) for i in range(len(x)) for j in np.lexsort((ids, -cos[i]))[:5]}
+    assert len(got) == len(want) and len(got & want) >= 0.99 * len(want)
+
+
 def test_blocks_split_large_cells():
     cells, size, first, many = neighbours.layout({5: 10, 7: 5000, 9: 3}, 256)
     assert cells.tolist() == [5, 7, 9] and many.tolist() == [1, 3, 1] and first.tolist() == [0, 1, 4]
