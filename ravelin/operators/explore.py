@@ -16,11 +16,11 @@ def search(cohort: DataFrame, live: DataFrame, text: str, key: str = "repo") ->
     return a.unionByName(hit(live, "live").join(a.select(key), key, "left_anti")).orderBy("origin", key)
 
 
-def compared(tiers: DataFrame, x: str, y: str) -> DataFrame:
-    """(tier, w) of every tier's unpruned edge between two nodes, 0 where there is none."""
-    names = tiers.select("tier").distinct()
+def compared(tiers: DataFrame, x: str, y: str, names: list[str] | None = None) -> DataFrame:
+    """(tier, w) of every tier's unpruned edge between two nodes, 0 where there is none; tiers are those of the edges, or `names`, which tiers without an edge have too."""
+    every = tiers.select("tier").distinct() if names is None else tiers.sparkSession.createDataFrame([(n,) for n in names], "tier string")
     mine = tiers.where(((F.col("a") == x) & (F.col("b") == y)) | ((F.col("a") == y) & (F.col("b") == x))).groupBy("tier").agg(F.max("w").alias("w"))
-    return names.join(mine, "tier", "left").select("tier", F.coalesce("w", F.lit(0)).alias("w"))
+    return every.join(mine, "tier", "left").select("tier", F.coalesce("w", F.lit(0)).alias("w"))
 
 
 def side_by_side(rows: DataFrame, x: str, y: str, key: str, fields: list[str]) -> DataFrame:

@@ -325,9 +325,13 @@ def g16_component_sizes(spark, d):
     return graph.component_sizes(data.star_edges(spark, d))
 
 
-def _tiers(spark, d):
+def _tiers(spark, d, among=None):
+    """The edges of both tiers, or those between the nodes `among`."""
     t = data.repo_topics(spark, d).select(F.col("repo").alias("left"), F.col("topic").alias("item"))
-    star = data.star_edges(spark, d).select("a", "b", "w", F.lit("stargazer").alias("tier"), F.lit(0).alias("rank"))
+    star = data.star_edges(spark, d)
+    if among is not None:
+        t, star = t.where(F.col("left").isin(among)), star.where(F.col("a").isin(among) & F.col("b").isin(among))
+    star = star.select("a", "b", "w", F.lit("stargazer").alias("tier"), F.lit(0).alias("rank"))
     topic = overlap.overlap_edges(t, min_shared=4).select("a", "b", "w", F.lit("semantic").alias("tier"), F.lit(3).alias("rank"))
     return star.unionByName(topic)
 
@@ -355,8 +359,11 @@ def g17_within_hops(spark, d):
     SELECT 'stargazer' AS tier, w FROM e JOIN p USING (a, b) UNION ALL SELECT 'semantic', CASE WHEN w >= 4 THEN w ELSE 0 END FROM t"""
 )
 def g18_compared(spark, d):
-    top = data.star_edges(spark, d).orderBy(F.col("w").desc(), "a", "b").first()
-    return explore.compared(_tiers(spark, d), top["a"], top["b"])
+    """Only the pair's own tags meet, not those of all pairs."""
+    top = data.star_edges(spark, d).select("a", "b", "w").orderBy(F.col("w").desc(), "a", "b").first()
+    if top is None:
+        return spark.createDataFrame([], "tier string, w long")
+    return explore.compared(_tiers(spark, d, [top["a"], top["b"]]), top["a"], top["b"], ["stargazer", "semantic"])
 
 
 @query()

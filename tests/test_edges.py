@@ -222,3 +222,15 @@ def test_signatures_tell_sets_apart(spark):
     m = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "x"), ("b", "y"), ("b", "x"), ("b", None), ("c", "x"), ("d", "xy")], "cluster string, member string")
     got = {r.cluster: r.signature for r in labels.signatures(m, "cluster", "member").collect()}
     assert got["a"] == got["b"] and len({got["a"], got["c"], got["d"]}) == 3
+
+
+def test_only_the_compared_pair_meets(spark, small, monkeypatch):
+    from ravelin.plans import maps
+    from ravelin.runtime import table
+
+    met = []
+    whole = overlap.overlap_edges
+    monkeypatch.setattr(overlap, "overlap_edges", lambda p, *a, **k: met.append(p.select("left").distinct().count()) or whole(p, *a, **k))
+    got = dict(map(tuple, maps.g18_compared(spark, small).collect()))
+    assert set(got) == {"stargazer", "semantic"} and got["stargazer"] > 0
+    assert met and max(met) <= 2 < table(spark, small, "topics").count()
