@@ -234,3 +234,18 @@ def test_only_the_compared_pair_meets(spark, small, monkeypatch):
     got = dict(map(tuple, maps.g18_compared(spark, small).collect()))
     assert set(got) == {"stargazer", "semantic"} and got["stargazer"] > 0
     assert met and max(met) <= 2 < table(spark, small, "topics").count()
+
+
+@pytest.mark.parametrize("short", [0, 1000])
+@pytest.mark.parametrize("k", [1, 3])
+def test_overlap_is_exact_for_lists_of_any_length(spark, short, k):
+    rnd = random.Random(7)
+    sets = {f"n{i:02d}": {f"i{int(rnd.paretovariate(0.7))}" for _ in range(rnd.randint(0, 9))} for i in range(30)}
+    df = spark.createDataFrame([(n, i) for n, s in sets.items() for i in s], "left string, item string")
+    want = sorted((a, b, len(sets[a] & sets[b])) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= k)
+    assert rows(overlap.overlap_edges(df, min_shared=k, hot=3, short=short), "a", "b", "w") == want
+
+
+def test_pairs_of_short_lists_are_not_shuffled(abc):
+    e = overlap.overlap_edges(abc, min_shared=3, with_members=True)
+    assert "hashpartitioning(a#" not in e._jdf.queryExecution().executedPlan().toString()
