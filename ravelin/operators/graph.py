@@ -17,15 +17,18 @@ DENSE = 3000
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(node, component): the smallest node of each connected component; labels take the least neighbour's, then their label's label."""
+    """(node, component): the smallest node of each connected component. Labels take their label's and the neighbours' labels' label, and what a
+    node finds its label takes too, so whole trees hook onto others and even long chains settle in few rounds."""
     e = cut(edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct())
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
     labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("c"))
     for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v").groupBy(F.col("u").alias("node")).agg(F.min("cv").alias("cn"))
-        step = labels.join(near, "node").select("node", "c", F.least("c", "cn").alias("n"))
-        up = labels.select(F.col("node").alias("n"), F.col("c").alias("cc"))
-        new = cut(step.join(up, "n", "left").select("node", F.least("n", F.coalesce("cc", "n")).alias("c"), (F.least("n", F.coalesce("cc", "n")) != F.col("c")).alias("moved")))
+        above = labels.join(labels.select(F.col("node").alias("c"), F.col("c").alias("g")), "c").select("node", "c", "g")
+        near = both.join(above.select(F.col("node").alias("v"), "g"), "v").groupBy(F.col("u").alias("node")).agg(F.min("g").alias("gn"))
+        step = above.join(near, "node").select("node", "c", F.least("g", "gn").alias("n"))
+        hook = step.groupBy(F.col("c").alias("node")).agg(F.min("n").alias("h"))
+        low = F.least("n", F.coalesce("h", "n"))
+        new = cut(step.join(hook, "node", "left").select("node", low.alias("c"), (low != F.col("c")).alias("moved")))
         labels = new.select("node", "c")
         if new.where("moved").isEmpty():
             return labels.select("node", F.col("c").alias("component"))

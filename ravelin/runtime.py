@@ -52,9 +52,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df reliably and forget its lineage. The partitioning is kept."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise df reliably and forget its lineage; the shuffles it took leave the disk. The partitioning is kept.
+
+    So is Spark's guess of its size, unless it is beyond what Spark takes for unknown sizes. A join's guess is the product of its sides', so in loops
+    that join a table with itself its digits double each round and soon fill the driver.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    jvm, session_ = spark.sparkContext._jvm, spark._jsparkSession
+    classic = jvm.org.apache.spark.sql.classic.Dataset
+    swept = jvm.java.lang.Class.forName("org.apache.spark.sql.execution.RemoveShuffleFiles$", True, jvm.Thread.currentThread().getContextClassLoader()).getField("MODULE$").get(None)
+    done = DataFrame(classic.ofRows(session_, df._jdf.queryExecution().analyzed(), swept), spark).checkpoint(eager=True)
+    plan = done._jdf.queryExecution().logical()
+    if plan.stats().sizeInBytes() <= session_.sessionState().conf().defaultSizeInBytes():
+        return done
+    none = jvm.scala.Option.apply(None)
+    plain = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), none, session_, none, none)
+    return DataFrame(classic.ofRows(session_, plain), spark)
 
 
 def stored(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
