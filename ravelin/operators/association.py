@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
 from .overlap import overlap_edges
 
 
@@ -34,6 +35,6 @@ def fused(tiers: list[DataFrame]) -> DataFrame:
     """(a, b, w): the sum of the tiers' scaled weights of each unordered pair."""
     whole = None
     for t in tiers:
-        one = min_max(t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("w").cast("double").alias("w")))
+        one = min_max(cut(t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("w").cast("double").alias("w"))))  # else made again for its span
         whole = one if whole is None else whole.unionByName(one)
     return whole.groupBy("a", "b").agg(F.sum("w").alias("w"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, parts
 
 
 #: Holders beyond which an item is hot: its pairs are no longer made one by one.
@@ -14,12 +14,16 @@ HOT = 2000
 #: Mean number of items beside an item up to which whole lists travel with each of their items.
 SHORT = 24
 
+#: Holders of an item that a task compares with all of its holders.
+SHARE = 1000
 
-def overlap_edges(pairs: DataFrame, left: str = "left", item: str = "item", min_shared: int = 3, with_members: bool = False, hot: int = HOT, short: int = SHORT) -> DataFrame:
+
+def overlap_edges(pairs: DataFrame, left: str = "left", item: str = "item", min_shared: int = 3, with_members: bool = False, hot: int = HOT, short: int = SHORT, share: int = SHARE) -> DataFrame:
     """(a, b, w[, members]): keys a < b with at least min_shared common items; exact.
 
     Short lists travel whole: a pair with min_shared common items has its rarest one before the min_shared - 1 most frequent of either list, so it meets by
-    those items only and is made where it meets by the rarest, without a shuffle of pairs. Where lists are long, pairs that share an ordinary item meet by an equi-join on it and are counted before the shuffle. Items of more than `hot` holders
+    those items only and is made where it meets by the rarest, without a shuffle of pairs; an item of more
+    than `share` holders is dealt to several tasks. Where lists are long, pairs that share an ordinary item meet by an equi-join on it and are counted before the shuffle. Items of more than `hot` holders
     make no pairs of their own: a pair met by ordinary items gets its hot ones from the two short lists of hot items, and a pair that shares
     hot items only, min_shared of them, shares one that is not among either's min_shared - 1 hottest, so only the others are joined.
     Nulls have no edge, repeats count once.
@@ -31,9 +35,12 @@ def overlap_edges(pairs: DataFrame, left: str = "left", item: str = "item", min_
     if (lengths["s"] or 0) <= short * (lengths["k"] or 0) and min_shared > 0:
         lists = held.groupBy("l").agg(F.array_sort(F.collect_list(F.struct("n", "i"))).alias("h")).where(F.size("h") >= min_shared)
         lists = lists.select("l", F.transform("h", lambda v: v["i"]).alias("h"))
-        early = lists.select("l", "h", F.explode(F.slice("h", F.lit(1), F.size("h") - (min_shared - 1))).alias("i"))
-        x, y = early.select(F.col("l").alias("a"), F.col("h").alias("ha"), "i"), early.select(F.col("l").alias("b"), F.col("h").alias("hb"), "i")
-        common = x.join(y, "i").where(F.col("a") < F.col("b")).select("a", "b", "i", F.array_intersect("ha", "hb").alias("m"))
+        early = cut(lists.select("l", "h", F.explode(F.slice("h", F.lit(1), F.size("h") - (min_shared - 1))).alias("i")))
+        sides = early.groupBy("i").agg(F.ceil(F.count("*") / share).cast("int").alias("s"))
+        early, n = early.join(sides, "i"), parts(pairs.sparkSession)  # a number given is kept: by bytes, few tasks would get all pairs
+        x = early.select(F.col("l").alias("a"), F.col("h").alias("ha"), "i", F.pmod(F.xxhash64("l"), F.col("s")).cast("int").alias("s")).repartition(n, "i", "s")
+        y = early.select(F.col("l").alias("b"), F.col("h").alias("hb"), "i", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("s")).repartition(n, "i", "s")
+        common = x.join(y, ["i", "s"]).where(F.col("a") < F.col("b")).select("a", "b", "i", F.array_intersect("ha", "hb").alias("m"))
         got = common.where((F.size("m") >= min_shared) & (F.get("m", F.lit(0)) == F.col("i")))
         return got.select("a", "b", F.size("m").cast("long").alias("w"), *([F.array_sort("m").alias("members")] if with_members else []))
     cold = held.where(F.col("n") <= hot)

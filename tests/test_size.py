@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from ravelin.operators import graph
+from ravelin.operators import association, explore, graph, overlap
 from ravelin.runtime import cut
 
 
@@ -34,3 +34,36 @@ def test_shuffles_of_a_cut_leave_the_disk(spark):
     t = cut(spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")))
     assert not kept() - before
     assert sum(r.n for r in t.collect()) == 5000
+
+
+def test_common_item_is_dealt_to_tasks(spark):
+    import random
+
+    rnd = random.Random(3)
+    sets = {f"r{k:03}": {"all", *rnd.sample("abcdefgh", rnd.randint(1, 4))} for k in range(120)}
+    t = spark.createDataFrame([(k, i) for k, v in sets.items() for i in v], "left string, item string")
+    want = sorted((a, b, n) for a in sets for b in sets if a < b and (n := len(sets[a] & sets[b])) >= 2)
+    got = overlap.overlap_edges(t, min_shared=2, share=10)
+    assert sorted((r.a, r.b, r.w) for r in got.collect()) == want
+
+
+def test_fused_tiers_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(it):
+        for p in it:
+            made.add(len(p))
+            yield p
+
+    t = spark.createDataFrame([("a", "b", 1), ("b", "c", 3)], "a string, b string, w long").mapInPandas(seen, "a string, b string, w long")
+    assert sorted((r.a, r.b, r.w) for r in association.fused([t]).collect()) == [("a", "b", 0.0), ("b", "c", 1.0)]
+    assert made.value == 2
+
+
+def test_cards_meet_by_name(spark):
+    old = spark.createDataFrame([(r, t) for r, ts in {"o1": "xyz", "o2": "xy", "o3": "yz"}.items() for t in ts], "repo string, topic string")
+    new = spark.createDataFrame([(r, t) for r, ts in {"n1": "xyz", "n2": "xy"}.items() for t in ts], "repo string, topic string")
+    theta = spark.createDataFrame([(t, 0.1) for t in "xyz"], "topic string, theta double")
+    edges = explore.card(old, new, theta, 2, 9)[1]
+    assert sorted((r.a, r.b, r.w) for r in edges.collect()) == [("n1", "n2", 2), ("n1", "o1", 3), ("n1", "o2", 2), ("n1", "o3", 2), ("n2", "o1", 2), ("n2", "o2", 2)]
+    assert "NestedLoop" not in edges._jdf.queryExecution().executedPlan().toString()
