@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
 from .layout import repo_angles
 from .overlap import overlap_edges, prune_either
 
@@ -38,6 +39,8 @@ def card(tags: DataFrame, new_tags: DataFrame, topic_theta: DataFrame, min_share
     angle = repo_angles(every, topic_theta).join(new_tags.select("repo").distinct(), "repo", "left_semi")
     new = new_tags.select("repo").distinct()
     use = every.join(new_tags.select("topic").distinct(), "topic", "left_semi")
-    edges = overlap_edges(use.select(F.col("repo").alias("left"), F.col("topic").alias("item")), min_shared=min_shared)
-    touch = edges.join(new, (edges["a"] == new["repo"]) | (edges["b"] == new["repo"]), "left_semi")
+    left = F.struct("repo", F.coalesce("_new", F.lit(False)).alias("new")).alias("left")  # pairs of known ones fall before they are compared
+    marked = use.join(new.withColumn("_new", F.lit(True)), "repo", "left").select(left, F.col("topic").alias("item"))
+    edges = overlap_edges(marked, min_shared=min_shared).where("a.new or b.new")
+    touch = cut(edges.select(F.col("a.repo").alias("a"), F.col("b.repo").alias("b"), "w"))
     return angle, prune_either(touch, k)
