@@ -67,3 +67,18 @@ def test_cards_meet_by_name(spark):
     edges = explore.card(old, new, theta, 2, 9)[1]
     assert sorted((r.a, r.b, r.w) for r in edges.collect()) == [("n1", "n2", 2), ("n1", "o1", 3), ("n1", "o2", 2), ("n1", "o3", 2), ("n2", "o1", 2), ("n2", "o2", 2)]
     assert "NestedLoop" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
+def test_communities_in_memory_are_small_and_those_of_tables(spark):
+    import random
+    import tracemalloc
+
+    rnd = random.Random(5)
+    pairs = {(f"n{rnd.randint(0, 4000)}", f"n{rnd.randint(0, 4000)}", float(rnd.randint(1, 9))) for _ in range(16000)}
+    e = cut(spark.createDataFrame(sorted(pairs), "a string, b string, w double"))
+    tracemalloc.start()
+    here = graph.communities(e, 2.0, rounds=3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 500 * len(pairs)  # bytes of the driver's Python an edge
+    assert sorted(map(tuple, here.collect())) == sorted(map(tuple, graph.communities(e, 2.0, rounds=3, local_edges=0).collect()))
