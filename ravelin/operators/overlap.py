@@ -106,12 +106,17 @@ def prune_directed(edges: DataFrame, k: int = 4) -> DataFrame:
     return e.withColumn("_ra", ra).withColumn("_rb", rb).where((F.col("_ra") <= k) | (F.col("_rb") <= k)).select(*edges.columns)
 
 
+def _held(refs: DataFrame, key: str, item: str) -> DataFrame:
+    """Distinct (l, i), the rows of a key together: windows and joins by key after it need no shuffle of their own, and plans that read it twice share one."""
+    return refs.select(F.col(key).alias("l"), F.col(item).alias("i")).where(F.col("l").isNotNull() & F.col("i").isNotNull()).repartition("l").distinct()
+
+
 def sketch_candidates(refs: DataFrame, key: str = "origin", item: str = "object_id", width: int = 96, most_holders: int = 40) -> DataFrame:
     """(a, b): keys that share one of their `width` smallest items; items held by more than most_holders keys are passed over.
 
     That bound is the operator's own: a candidate search that exact verification follows.
     """
-    flat = refs.select(F.col(key).alias("l"), F.col(item).alias("i")).where(F.col("l").isNotNull() & F.col("i").isNotNull()).distinct()
+    flat = _held(refs, key, item)
     small = flat.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("i"))).where(F.col("r") <= width)
     held = small.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n").between(2, most_holders))
     use = small.join(held, "i").select("l", "i")
@@ -119,8 +124,9 @@ def sketch_candidates(refs: DataFrame, key: str = "origin", item: str = "object_
 
 
 def containment(candidates: DataFrame, refs: DataFrame, key: str = "origin", item: str = "object_id") -> DataFrame:
-    """(a, b, shared, size_a, size_b, containment, jaccard) of candidate pairs, exact."""
-    flat = refs.select(F.col(key).alias("l"), F.col(item).alias("i")).where(F.col("l").isNotNull() & F.col("i").isNotNull()).distinct()
+    """(a, b, shared, size_a, size_b, containment, jaccard) of candidate pairs, exact. Only the items of their keys meet."""
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("l")).distinct()
+    flat = _held(refs, key, item).join(ends, "l", "left_semi")
     n = flat.groupBy("l").agg(F.count("*").alias("n"))
     shared = (
         candidates.join(flat.select(F.col("l").alias("a"), "i"), "a").join(flat.select(F.col("l").alias("b"), "i"), ["b", "i"]).groupBy("a", "b").agg(F.count("*").alias("shared"))

@@ -71,10 +71,11 @@ PAGES = "(SELECT * EXCLUDE (rn) FROM (SELECT * REPLACE (lower(repo) AS repo), ro
 
 
 def refs(spark, d):
-    """Distinct (origin, object_id) of each repo's latest listing without error."""
+    """Distinct (origin, object_id) of each repo's latest listing without error, the ids as bytes, which have the order of their digits."""
     r = table(spark, d, "repo_refs_cache").where("error is null and repo is not null and size(ids) > 0").withColumn("origin", F.lower("repo"))
-    r = latest(r, ["origin"], [F.col("fetched_at")], ["ids"])
-    return r.select("origin", F.explode("ids").alias("x")).select("origin", F.lower("x").alias("object_id")).where("object_id rlike '^[0-9a-f]{40}$'").distinct()
+    low = F.array_distinct(F.transform("ids", F.lower))
+    r = r.withColumn("ids", F.transform(F.filter(low, lambda x: x.rlike("^[0-9a-f]{40}$")), F.unhex))
+    return latest(r, ["origin"], [F.col("fetched_at")], ["ids"]).select("origin", F.explode("ids").alias("object_id"))
 
 
 REFS = """(SELECT DISTINCT origin, lower(x) AS object_id FROM (SELECT origin, unnest(ids) AS x FROM (SELECT lower(repo) AS origin, ids, row_number() OVER (PARTITION BY lower(repo) ORDER BY fetched_at DESC NULLS LAST) AS rn

@@ -82,3 +82,15 @@ def test_communities_in_memory_are_small_and_those_of_tables(spark):
     tracemalloc.stop()
     assert most < 500 * len(pairs)  # bytes of the driver's Python an edge
     assert sorted(map(tuple, here.collect())) == sorted(map(tuple, graph.communities(e, 2.0, rounds=3, local_edges=0).collect()))
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count(" hashpartitioning(")
+
+
+def test_object_ids_are_shuffled_once_and_as_bytes(spark, small):
+    from ravelin.plans import data
+
+    refs = data.refs(spark, small)
+    assert _shuffles(refs) == 1 and refs.schema["object_id"].dataType.typeName() == "binary"
+    assert refs.count() == refs.distinct().count() > 0
