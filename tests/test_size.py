@@ -94,3 +94,14 @@ def test_object_ids_are_shuffled_once_and_as_bytes(spark, small):
     refs = data.refs(spark, small)
     assert _shuffles(refs) == 1 and refs.schema["object_id"].dataType.typeName() == "binary"
     assert refs.count() == refs.distinct().count() > 0
+
+
+def test_items_of_keys_without_candidates_do_not_meet(spark):
+    pairs = [(k, i) for k in ("a", "b") for i in range(5)] + [("c", i) for i in range(100, 104)] + [("a", 0), ("d", None)]
+    refs = spark.createDataFrame(pairs, "origin string, object_id long").repartition(3)
+    held = overlap._held(refs, "origin", "object_id")
+    assert _shuffles(held) == 1 and held.count() == 14
+    candidates = spark.createDataFrame([("a", "b")], "a string, b string")
+    got = overlap.containment(candidates, refs)
+    assert [(r.a, r.b, r.shared, r.size_a, r.size_b) for r in got.collect()] == [("a", "b", 5, 5, 5)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") > 0
