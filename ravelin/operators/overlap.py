@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +23,9 @@ SHORT = 24
 #: Holders of an item that a task compares with all of its holders.
 SHARE = 1000
 
+#: Keys and items held that make a group of dense_overlaps().
+GROUP, HELD = 50_000, 6_000_000
+
 
 def overlap_edges(pairs: DataFrame, left: str = "left", item: str = "item", min_shared: int = 3, with_members: bool = False, hot: int = HOT, short: int = SHORT, share: int = SHARE) -> DataFrame:
     """(a, b, w[, members]): keys a < b with at least min_shared common items; exact.
@@ -63,6 +72,113 @@ def overlap_edges(pairs: DataFrame, left: str = "left", item: str = "item", min_
     return both.select("a", "b", w.cast("long").alias("w"), *got).where(F.col("w") >= min_shared)
 
 
+def _packed(lists: DataFrame, groups: int) -> DataFrame:
+    """(g, names, sizes, items, counts, holders): the lists (l, h) in groups, each a row with its names in order and its items with the places of their holders."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts_ = [b for b in batches if len(b)]
+        if not parts_:
+            return
+        t = pa.Table.from_batches(parts_)
+        t = t.take(pc.sort_indices(t["l"]))
+        h = t["h"].combine_chunks()
+        sizes = pc.list_value_length(h).to_numpy().astype(np.int32)
+        at = np.repeat(np.arange(len(sizes), dtype=np.uint16 if len(sizes) <= 65536 else np.uint32), sizes)
+        items, place, counts = np.unique(h.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        holders = at[np.argsort(place, kind="stable")]
+        names = t["l"].combine_chunks()
+        row = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), *[pa.array([x.tobytes()], pa.binary()) for x in (sizes, items, counts.astype(np.int32), holders)]]
+        yield pa.RecordBatch.from_arrays(row, ["g", "names", "sizes", "items", "counts", "holders"])
+
+    kind = lists.schema["l"].dataType.simpleString()
+    return cut(lists.repartition(groups, "l").mapInArrow(pack, f"g int, names array<{kind}>, sizes binary, items binary, counts binary, holders binary"))
+
+
+def _met(batches: Iterator[pa.RecordBatch], min_shared: int, least: int, flush: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """(a, b, w, ca, cb) of two groups, or of one with itself: each key's items call up their holders, which are counted."""
+    rows = sorted((r for b in batches for r in pa.Table.from_batches([b]).to_batches(1)), key=lambda r: r["g"][0].as_py())
+    if len(rows) < (1 if rows and rows[0]["same"][0].as_py() else 2):  # of two groups, one may have no keys
+        return
+    bytes_ = lambda r, c, kind: np.frombuffer(r[c][0].as_buffer(), kind)
+    names, sizes, items, counts, holders = zip(*[(r["names"].flatten(), bytes_(r, "sizes", np.int32), bytes_(r, "items", np.int64), bytes_(r, "counts", np.int32), bytes_(r, "holders", np.uint16 if len(r["names"].flatten()) <= 65536 else np.uint32)) for r in rows])
+    x, y = 0, len(rows) - 1
+    _, ix, iy = np.intersect1d(items[x], items[y], assume_unique=True, return_indices=True)
+    seen = np.full(len(items[x]), -1)
+    seen[ix] = np.arange(len(ix))
+    ends = np.cumsum(counts[y])
+    lists = [holders[y][i:j] for i, j in zip((ends - counts[y])[iy].tolist(), ends[iy].tolist())]
+    which = np.repeat(seen, counts[x])
+    keys, which = holders[x][which >= 0], which[which >= 0]
+    which = which[np.argsort(keys, kind="stable")].tolist()
+    stop = np.cumsum(np.bincount(keys, minlength=len(names[x]))).tolist()
+    many = len(names[y])
+    order = pc.sort_indices(pa.chunked_array([names[x], names[y]])).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    rx, ry = rank[: len(names[x])], rank[len(names[x]) :]
+    found: list = [[], [], []]
+
+    def batch() -> pa.RecordBatch:
+        p, q, w = (np.concatenate(f) for f in found)
+        for f in found:
+            f.clear()
+        a, b, ca, cb = names[x].take(pa.array(p)), names[y].take(pa.array(q)), sizes[x][p].astype(np.int64), sizes[y][q].astype(np.int64)
+        if x != y:
+            swap = rx[p] > ry[q]
+            a, b = pc.if_else(pa.array(swap), b, a), pc.if_else(pa.array(swap), a, b)
+            ca, cb = np.where(swap, cb, ca), np.where(swap, ca, cb)
+        return pa.RecordBatch.from_arrays([a, b, pa.array(w), pa.array(ca), pa.array(cb)], ["a", "b", "w", "ca", "cb"])
+
+    enough, n, start = sizes[y] >= least, 0, 0
+    for k, end in enumerate(stop):
+        mine, start = which[start:end], end
+        if len(mine) < min_shared or sizes[x][k] < least:
+            continue
+        c = np.bincount(np.concatenate([lists[i] for i in mine]), minlength=many)
+        if x == y:
+            c[: k + 1] = 0
+        hit = np.flatnonzero((c >= min_shared) & enough)
+        if len(hit):
+            found[0].append(np.full(len(hit), k))
+            found[1].append(hit)
+            found[2].append(c[hit])
+            n += len(hit)
+        if n >= flush:
+            yield batch()
+            n = 0
+    if n:
+        yield batch()
+
+
+def dense_overlaps(pairs: DataFrame, left: str = "left", item: str = "item", min_shared: int = 3, least: int = 1, group: int = GROUP, held: int = HELD) -> tuple[DataFrame, int]:
+    """((a, b, w, ca, cb), n): as overlap_edges(), for long lists of which a good part of all pairs have common items; ca and cb are the keys' numbers of items,
+    n the number of items. Keys of fewer than `least` items have no edge, but their items count in n.
+
+    No pair is shuffled: keys are dealt to groups of some `group` keys and `held` items, a task meets two groups and counts all pairs of them, so memory is bounded by the groups and the
+    lists are sent once for each group. Work is that of the pairs by items and of all pairs of keys. Items that are no whole numbers meet by 64-bit hashes.
+    """
+    if min_shared < 1:
+        raise ValueError("pairs without common items are not made")
+    whole = pairs.schema[item].dataType.typeName() in ("byte", "short", "integer", "long")
+    code = F.col(item).cast("long") if whole else F.xxhash64(item)
+    lists = cut(pairs.where(F.col(left).isNotNull() & F.col(item).isNotNull()).groupBy(F.col(left).alias("l")).agg(F.collect_set(code).alias("h")))
+    size = lists.agg(F.count("*").alias("k"), F.sum(F.size("h")).alias("s")).first()
+    groups = max(1, -(-size["k"] // group), -(-(size["s"] or 0) // held))
+    packed = _packed(lists, groups)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b["items"]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64))], ["i"])
+
+    n = packed.select("items").mapInArrow(unpack, "i long").distinct().count()
+    i, j = F.least("g", "o"), F.greatest("g", "o")
+    cells = packed.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("*", (j * (j + 1) / 2 + i).cast("int").alias("cell"), (F.col("g") == F.col("o")).alias("same"))
+    kind = pairs.schema[left].dataType.simpleString()
+    out = cells.drop("o").repartitionById(groups * (groups + 1) // 2, "cell").drop("cell").mapInArrow(lambda batches: _met(batches, min_shared, least), f"a {kind}, b {kind}, w long, ca long, cb long")
+    return out, n
+
+
 def both_ways(edges: DataFrame, weight: str = "w") -> DataFrame:
     """(node, other, w): each undirected edge from both ends."""
     return edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e"), F.col(weight).alias("w")).select(

@@ -51,10 +51,10 @@ STAR_EDGES = """(SELECT least(x, y) AS a, greatest(x, y) AS b, count(DISTINCT m)
 
 
 def audience(spark, d):
-    """Distinct (left, item): repositories and the persons of the shared-stargazer edges at them."""
+    """(left, item): repositories and the persons of the shared-stargazer edges at them, once an edge."""
     e = latest(table(spark, d, "shared_stargazers").where("edge_id is not null"), ["edge_id"], [F.col("found_at")], ["a", "b", "members"])
     ends = e.select(F.explode(F.array(F.lower("a"), F.lower("b"))).alias("left"), F.col("members"))
-    return ends.select("left", F.explode("members").alias("item")).select("left", F.lower(F.trim("item")).alias("item")).where("left is not null and item <> ''").distinct()
+    return ends.select("left", F.explode("members").alias("item")).select("left", F.lower(F.trim("item")).alias("item")).where("left is not null and item <> ''")
 
 
 AUDIENCE = """(SELECT DISTINCT l, lower(trim(unnest(members))) AS i FROM (SELECT lower(a) AS l, members FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY found_at DESC NULLS LAST) AS rn FROM shared_stargazers) WHERE rn = 1

@@ -46,7 +46,7 @@ _AUDIENCE = f"(SELECT * FROM {data.AUDIENCE} WHERE i IS NOT NULL AND i <> '')"
 
 @query(f"SELECT a, b, w FROM {_overlap(_AUDIENCE, 3)}")
 def j1_shared_stargazers(spark, d):
-    return overlap.overlap_edges(data.audience(spark, d), min_shared=3)
+    return overlap.dense_overlaps(data.audience(spark, d), min_shared=3)[0].select("a", "b", "w")
 
 
 @query(f"SELECT x.repo AS a, y.repo AS b, count(*) AS w, list_sort(list(x.topic)) AS members FROM {data.REPO_TOPICS} x JOIN {data.REPO_TOPICS} y ON x.topic = y.topic AND x.repo < y.repo GROUP BY ALL HAVING count(*) >= 5")

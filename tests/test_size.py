@@ -105,3 +105,24 @@ def test_items_of_keys_without_candidates_do_not_meet(spark):
     got = overlap.containment(candidates, refs)
     assert [(r.a, r.b, r.shared, r.size_a, r.size_b) for r in got.collect()] == [("a", "b", 5, 5, 5)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") > 0
+
+
+def _overlaps(sets, least):
+    return sorted((a, b, n) for a in sets for b in sets if a < b and (n := len(sets[a] & sets[b])) >= least)
+
+
+def test_pairs_of_long_lists_are_not_shuffled(spark):
+    import random
+
+    rnd = random.Random(4)
+    sets = {f"r{k:02}": set(rnd.sample([f"p{i}" for i in range(60)], rnd.randint(1, 40))) for k in range(50)}
+    t = spark.createDataFrame([(k, i) for k, v in sets.items() for i in v for _ in range(2)] + [(None, "p1"), ("r00", None)], "left string, item string")
+    for group in (7, 1000):  # with some groups empty or of one key, and with one
+        got, n = overlap.dense_overlaps(t, min_shared=5, group=group)
+        assert n == len(set().union(*sets.values()))
+        assert sorted((r.a, r.b, r.w) for r in got.collect()) == _overlaps(sets, 5)
+        assert all((r.ca, r.cb) == (len(sets[r.a]), len(sets[r.b])) for r in got.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    few, n = overlap.dense_overlaps(spark.createDataFrame([("a", 1), ("b", 1), ("a", 2), ("b", 2), ("c", 1), ("d", 9)], "left string, item long"), min_shared=1, least=2, group=1)
+    assert sorted(map(tuple, few.collect())) == [("a", "b", 2, 2, 2)] and n == 3
