@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut
-from .overlap import overlap_edges
+from .overlap import dense_overlaps, overlap_edges
 
 
-def positive_pmi(pairs: DataFrame, doc: str = "doc", item: str = "item", min_item: int = 1, min_pair: int = 1) -> DataFrame:
+def positive_pmi(pairs: DataFrame, doc: str = "doc", item: str = "item", min_item: int = 1, min_pair: int = 1, dense: bool = False) -> DataFrame:
     """(a, b, w): ln(p_ab / (p_a p_b)) > 0 of items a < b in at least min_item documents each and min_pair together.
 
     Every document counts in the denominators, those of one item too. Items below the support are left out before pairs are made.
+    dense: a good part of all pairs of items occurs, so they are counted without a shuffle of pairs.
     """
+    if dense:
+        edges, n = dense_overlaps(pairs, item, doc, min_pair, min_item)
+        return edges.select("a", "b", F.log(F.col("w") * n / (F.col("ca") * F.col("cb"))).alias("w")).where(F.col("w") > 0)
     flat = pairs.select(F.col(doc).alias("d"), F.col(item).alias("i")).where(F.col("d").isNotNull() & F.col("i").isNotNull()).distinct()
     n = flat.select(F.countDistinct("d").alias("n"))
     freq = flat.groupBy("i").agg(F.count("*").alias("c")).where(F.col("c") >= min_item)

@@ -130,7 +130,7 @@ def a8_topic_pmi(spark, d):
 def a9_costar_pmi(spark, d):
     """The same operator with the roles turned: persons are the documents, repositories the items."""
     p = data.audience(spark, d).select(F.col("item").alias("doc"), F.col("left").alias("item"))
-    return association.positive_pmi(p, min_item=5, min_pair=3).select("a", "b", F.round("w", 6).alias("w"))
+    return association.positive_pmi(p, min_item=5, min_pair=3, dense=True).select("a", "b", F.round("w", 6).alias("w"))
 
 
 def _scaled(e):

@@ -126,3 +126,14 @@ def test_pairs_of_long_lists_are_not_shuffled(spark):
     assert "Join" not in plan and "Aggregate" not in plan
     few, n = overlap.dense_overlaps(spark.createDataFrame([("a", 1), ("b", 1), ("a", 2), ("b", 2), ("c", 1), ("d", 9)], "left string, item long"), min_shared=1, least=2, group=1)
     assert sorted(map(tuple, few.collect())) == [("a", "b", 2, 2, 2)] and n == 3
+
+
+def test_association_of_long_lists_is_that_of_short_ones(spark):
+    import random
+
+    rnd = random.Random(6)
+    t = spark.createDataFrame([(f"p{p}", f"r{r:02}") for r in range(30) for p in rnd.sample(range(40), rnd.randint(1, 25))] + [("alone", "r00"), ("alone", "r00")], "doc string, item string")
+    rows = lambda df: sorted((r.a, r.b, round(r.w, 9)) for r in df.collect())
+    dense = association.positive_pmi(t, min_item=5, min_pair=3, dense=True)
+    assert rows(dense) == rows(association.positive_pmi(t, min_item=5, min_pair=3)) != []
+    assert "Join" not in dense._jdf.queryExecution().executedPlan().toString()
