@@ -137,3 +137,18 @@ def test_association_of_long_lists_is_that_of_short_ones(spark):
     dense = association.positive_pmi(t, min_item=5, min_pair=3, dense=True)
     assert rows(dense) == rows(association.positive_pmi(t, min_item=5, min_pair=3)) != []
     assert "Join" not in dense._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trees_over_many_communities(spark):
+    """Rolled up, walked and listed to the same members, with the moves made in memory."""
+    rnd = __import__("random").Random(8)
+    e = cut(spark.createDataFrame(sorted({(min(p), max(p), float(rnd.randint(1, 9))) for _ in range(300) if len(p := {f"n{rnd.randint(0, 150):03}", f"n{rnd.randint(0, 150):03}"}) == 2}), "a string, b string, w double"))
+    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    tree = graph.hierarchy(e, nodes, most=2)
+    n = nodes.count()
+    flat = cut(graph.flat_members(tree))
+    top = graph.without_singletons(tree)[1].collect()
+    assert sum(r.member_count for r in top) == n
+    assert flat.select("member").distinct().count() == n
+    roots = {r.path[-2] for r in graph.ancestors(tree).collect()}
+    assert {r.id for r in top if r.member_count > 1} <= roots
