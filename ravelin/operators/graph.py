@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +37,60 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _least(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that hangs together with each of n nodes; u, v: every edge from both ends."""
+    least = np.arange(n)
+    while True:
+        low = least.copy()
+        np.minimum.at(low, least[u], least[v])
+        while (low[low] != low).any():
+            low = low[low]
+        low = low[least]
+        if (low == least).all():
+            return least
+        least = low
+
+
+def stars(edges: DataFrame, flush: int = 1_000_000) -> DataFrame:
+    """(a, b): fewer edges that connect what edges connects. Each task keeps a row a node, the node and the smallest one of those it hangs together
+    with in the task, so edges themselves are neither stored nor shuffled."""
+
+    def merged(rows: list[pa.Table]) -> pa.Table:
+        t = pa.concat_tables(rows)
+        ends = pa.chunked_array([*t["a"].chunks, *t["b"].chunks], t["a"].type)
+        names = pc.unique(ends)
+        names = names.take(pc.sort_indices(names))
+        a, b = (pc.index_in(t[x], names).to_numpy().astype(np.int64) for x in "ab")
+        return pa.table({"a": names, "b": names.take(pa.array(_least(np.concatenate([a, b]), np.concatenate([b, a]), len(names))))})
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, n = [], 0
+        for x in batches:
+            rows.append(pa.table({c: x.column(c) for c in "ab"}))  # nulls allowed, as in what merged() makes
+            n += len(x)
+            if n >= flush:
+                rows, n = [merged(rows)], 0
+        if rows:
+            yield from merged(rows).to_batches(10_000)
+
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull()).mapInArrow(kept, f"a {kind}, b {kind}")
+
+
 def component_sizes(edges: DataFrame) -> DataFrame:
     return components(edges).groupBy("component").agg(F.count("*").alias("size")).orderBy(F.col("size").desc(), "component")
 
 
+def largest_nodes(edges: DataFrame) -> DataFrame:
+    """(node) of the largest component; of equally large ones that with the smallest node."""
+    comp = cut(components(stars(edges)))
+    big = comp.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "component").limit(1).select("component")
+    return comp.join(big, "component", "left_semi").select("node")
+
+
 def largest_component(edges: DataFrame) -> DataFrame:
     """The edges of the largest component; of equally large ones that with the smallest node."""
-    comp = cut(components(edges))
-    big = comp.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "component").limit(1).select("component")
-    inside = comp.join(big, "component", "left_semi").select(F.col("node").alias("a"))
-    return edges.join(inside, "a", "left_semi")
+    return edges.join(largest_nodes(edges).select(F.col("node").alias("a")), "a", "left_semi")
 
 
 def _centred(x: DataFrame, comp: DataFrame) -> DataFrame:
@@ -166,16 +211,7 @@ def _moved_here(rows: pa.Table, resolution: float, rounds: int, seed: int) -> pa
         awake = moved[[zlib.crc32(said, begun[x]) % _PRIME % 2 == 0 for x in moved.tolist()]]
         c[awake] = to[awake]
     inside = c[u] == c[v]
-    u, v, least = u[inside], v[inside], every.copy()
-    while True:
-        low = least.copy()
-        np.minimum.at(low, least[u], least[v])
-        while (low[low] != low).any():
-            low = low[low]
-        low = low[least]
-        if (low == least).all():
-            return pa.table({"node": names, "community": names.take(pa.array(least))})
-        least = low
+    return pa.table({"node": names, "community": names.take(pa.array(_least(u[inside], v[inside], n)))})
 
 
 def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, seed: int = 1, local_edges: int = LOCAL_EDGES) -> DataFrame:

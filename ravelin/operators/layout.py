@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
-from .graph import DENSE, largest_component
+from ..runtime import cut, parts
+from .graph import DENSE, largest_nodes
 from .overlap import both_ways
 
 
@@ -55,23 +56,32 @@ def compared_sources(first: DataFrame, second: DataFrame, clusters: DataFrame, k
     return out
 
 
-def spectral(edges: DataFrame, normalised: bool = True, dense: int = DENSE, rounds: int = 150) -> DataFrame:
+#: Nodes up to which the iterated vectors are on the driver (36 numbers a node), and ends of edges in a packed row.
+HELD, PACK = 200_000, 2_000_000
+
+
+def spectral(edges: DataFrame, normalised: bool = True, dense: int = DENSE, rounds: int = 150, held: int = HELD) -> DataFrame:
     """(node, theta, r): angle and radius of the second and third smallest eigenvectors of the Laplacian of the largest component.
 
     normalised solves L v = lambda D v, in which hubs keep their coordinates; r is the radius scaled to [0, 1]. Directions are fixed up to the
     eigenvectors' own freedom: the first entry of each, in node order, that is not 0 is positive. Up to `dense` nodes numpy solves it on the driver; beyond, LOBPCG
-    over tables, one join and one sum a round, until both residuals are small; not reaching that in `rounds` is an error.
+    until both residuals are small; not reaching that in `rounds` is an error. Up to `held` nodes its vectors are on the driver and a round is one pass over packed edges, without
+    a shuffle; for more, all is in tables, one join and one sum a round.
     """
-    e = cut(largest_component(edges).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("w").cast("double").alias("w")))
-    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    n = nodes.count()
+    inside = cut(largest_nodes(edges))
+    n = inside.count()
     kind = edges.schema["a"].dataType.simpleString()
     if n < 3:
         return edges.sparkSession.createDataFrame([], f"node {kind}, theta double, r double")
-    if n > dense:
-        xy = _iterated(e, normalised, rounds)
+    if dense < n <= held:
+        xy = _packed(edges, inside, normalised, rounds)
     else:
-        names = [r["node"] for r in nodes.orderBy("node").collect()]
+        of = edges.join(inside.select(F.col("node").alias("a")), "a", "left_semi")
+        e = cut(of.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("w").cast("double").alias("w")))
+    if n > max(dense, held):
+        xy = _iterated(e, normalised, rounds)
+    elif n <= dense:
+        names = [r["node"] for r in inside.orderBy("node").collect()]
         at = {x: i for i, x in enumerate(names)}
         w = np.zeros((n, n))
         for r in e.collect():
@@ -92,6 +102,120 @@ def spectral(edges: DataFrame, normalised: bool = True, dense: int = DENSE, roun
     return polar.crossJoin(span).select("node", "theta", r.alias("r"))
 
 
+def _ritz(gram: np.ndarray, im: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, X, P): the Rayleigh-Ritz step in the part of the columns' span that is orthogonal to t, the last column: the m smallest values, and what makes the new
+    X and P of the columns X, W, P, t; gram: the columns' products, im: those with their images."""
+    out = np.vstack([np.eye(3 * m), -gram[-1:, :-1] / gram[-1, -1]])
+    g, h = out.T @ gram @ out, out.T @ ((im + im.T) / 2) @ out
+    size = np.sqrt(np.maximum(np.diag(g), 0))
+    live = size > 1e-150
+    scale = np.where(live, 1 / np.where(live, size, 1), 0)
+    val, vec = np.linalg.eigh(g * scale[:, None] * scale[None, :])
+    use = val > 1e-11
+    base = scale[:, None] * vec[:, use] / np.sqrt(val[use])
+    val, vec = np.linalg.eigh(base.T @ h @ base)
+    coef = np.zeros((3 * m, m))
+    k = min(m, len(val))
+    coef[:, :k] = base @ vec[:, :k]
+    lam = np.zeros(m)
+    lam[:k] = val[:k]
+    rest = coef.copy()
+    rest[:m] = 0
+    return lam, out @ coef, out @ rest
+
+
+def _packed(edges: DataFrame, inside: DataFrame, normalised: bool, rounds: int, tol: float = 1e-5, block: int = 6, pack: int = PACK) -> DataFrame:
+    """(node, x, y): as _iterated(), for nodes whose vectors the driver holds. Edges are numbered and packed once, by rows of W, each a few arrays; of repeated ones the
+    greatest weight holds. A round sends the vectors to the packed rows, which return their part of the product."""
+    spark = edges.sparkSession
+    names = inside.toArrow()["node"].combine_chunks()
+    names = names.take(pc.sort_indices(names))
+    n, e = len(names), edges.select("a", "b", F.col("w").cast("double").alias("w")).where(F.col("w").isNotNull())
+    blocks = max(parts(spark), -(-2 * e.count() // pack))
+    known = spark.sparkContext.broadcast(names)
+
+    def numbered(batches: Iterator[pa.RecordBatch], flush: int = 500_000) -> Iterator[pa.RecordBatch]:
+        def of(got: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(got)
+            a, c = (pc.index_in(t[x], known.value) for x in "ab")
+            ok = pc.and_(pc.is_valid(a), pc.is_valid(c))
+            a, c, w = (x.filter(ok).to_numpy() for x in (a, c, t["w"]))
+            i, j = np.concatenate([a, c]), np.concatenate([c, a])
+            yield from pa.table({"k": (i % blocks).astype(np.int32), "i": i, "j": j, "w": np.tile(w, 2)}).to_batches(10_000)
+
+        got, n = [], 0
+        for b in batches:
+            got.append(b)
+            n += len(b)
+            if n >= flush:
+                yield from of(got)
+                got, n = [], 0
+        if got:
+            yield from of(got)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if len(b)]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        k, i, j, w = t["k"][0].as_py(), *(t[x].to_numpy() for x in "ijw")
+        at = (i // blocks).astype(np.int64) * n + j
+        order = np.lexsort((w, at))
+        at = at[order]
+        order = order[np.append(at[1:] != at[:-1], True)]
+        count = np.bincount(i[order] // blocks, minlength=len(range(k, n, blocks))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (count, j[order], w[order])]], names=["k", "count", "j", "w"])
+
+    rows = e.mapInArrow(numbered, "k int, i int, j int, w double").repartitionById(blocks, "k")
+    rows = cut(rows.mapInArrow(packed, "k int, count binary, j binary, w binary"))
+    known.destroy()
+
+    def times(x: np.ndarray) -> np.ndarray:
+        """W x."""
+        sent = spark.sparkContext.broadcast(np.ascontiguousarray(x.T))
+
+        def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in b.to_pylist():
+                    count, j, w = (np.frombuffer(r[c], kind) for c, kind in (("count", np.int32), ("j", np.int32), ("w", np.float64)))
+                    some = count > 0
+                    begin = (np.cumsum(count) - count)[some]
+                    y = np.zeros((len(sent.value), len(count)))
+                    for c, col in enumerate(sent.value):
+                        y[c, some] = np.add.reduceat(col[j] * w, begin)
+                    yield pa.RecordBatch.from_arrays([pa.array([r["k"]], pa.int32()), pa.array([y.tobytes()], pa.binary())], names=["k", "y"])
+
+        y = np.zeros_like(x)
+        for r in rows.mapInArrow(product, "k int, y binary").collect():
+            y[r["k"] :: blocks] = np.frombuffer(r["y"]).reshape(x.shape[1], -1).T
+        sent.destroy()
+        return y
+
+    d = times(np.ones((n, 1)))
+    root = np.sqrt(d)
+    t, c, top = (root / np.sqrt(d.sum()), np.ones_like(d), 1.0) if normalised else (np.full_like(d, n**-0.5), d, d.max())
+    image = lambda x: x - times(x / root) / root if normalised else d * x - times(x)
+    m = min(block, n - 1)
+    x, p = np.linalg.qr(np.random.default_rng(1).standard_normal((n, m)))[0], np.zeros((n, m))
+    ax, ap, lam = image(x), np.zeros((n, m)), np.zeros(m)
+    none = np.zeros_like(t)
+    for k in range(rounds):
+        over = ax - x * lam
+        if k and lam[0] > 0 and (np.linalg.norm(over[:, :2], axis=0) <= np.maximum(tol * lam[:2], 1e-12 * top)).all():
+            ax = image(x)  # its sums of sums are not relied on
+            over = ax - x * lam
+            if (np.linalg.norm(over[:, :2], axis=0) <= np.maximum(tol * lam[:2], 1e-12 * top)).all():
+                xy = x[:, :2] / (root if normalised else 1.0)
+                return spark.createDataFrame(pa.table({"node": names, "x": xy[:, 0], "y": xy[:, 1]}))
+        w = over / c
+        w -= x @ (x.T @ w)
+        w /= np.maximum(np.linalg.norm(w, axis=0), 1e-150)
+        s, im = np.hstack([x, w, p, t]), np.hstack([ax, image(w), ap, none])
+        lam, new, rest = _ritz(s.T @ s, s.T @ im, m)
+        x, p, ax, ap = s @ new, s @ rest, im @ new, im @ rest
+    raise RuntimeError(f"the eigenvectors did not settle in {rounds} rounds")
+
+
 def _iterated(e: DataFrame, normalised: bool, rounds: int, tol: float = 1e-5, block: int = 6) -> DataFrame:
     """(node, x, y) by LOBPCG over tables with the constant eigenvector taken out: of I - D^-1/2 W D^-1/2, or of D - W with D as preconditioner.
 
@@ -150,24 +274,8 @@ def _iterated(e: DataFrame, normalised: bool, rounds: int, tol: float = 1e-5, bl
             x = full.select("node", "c", "t", F.col("s")[0].alias("x"), F.col("s")[1].alias("y"))
             f = 1 / (F.col("t") * norm) if normalised else F.lit(1.0)
             return x.select("node", (F.col("x") * f).alias("x"), (F.col("y") * f).alias("y"))
-        # Rayleigh-Ritz in the part of the columns' span that is orthogonal to t
-        out = np.vstack([np.eye(3 * m), -gram[-1:, :-1] / gram[-1, -1]])
-        g, h = out.T @ gram @ out, out.T @ ((im + im.T) / 2) @ out
-        size = np.sqrt(np.maximum(np.diag(g), 0))
-        live = size > 1e-150
-        scale = np.where(live, 1 / np.where(live, size, 1), 0)
-        val, vec = np.linalg.eigh(g * scale[:, None] * scale[None, :])
-        use = val > 1e-11
-        base = scale[:, None] * vec[:, use] / np.sqrt(val[use])
-        val, vec = np.linalg.eigh(base.T @ h @ base)
-        coef = np.zeros((3 * m, m))
-        k = min(m, len(val))
-        coef[:, :k] = base @ vec[:, :k]
-        lam = np.zeros(m)
-        lam[:k] = val[:k]
-        rest = coef.copy()
-        rest[:m] = 0
-        turn = np.hstack([out @ coef, out @ rest])
+        lam, new, rest = _ritz(gram, im, m)
+        turn = np.hstack([new, rest])
 
         def turned(batches: Iterator[pa.RecordBatch], fresh: bool = fresh, lam: np.ndarray = lam, turn: np.ndarray = turn) -> Iterator[pa.RecordBatch]:
             listed = lambda v: pa.FixedSizeListArray.from_arrays(pa.array(v.reshape(-1)), v.shape[1]).cast(pa.list_(pa.float64()))

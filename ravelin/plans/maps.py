@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import explore, graph, identity, labels, layout, overlap, resolve
-from ..runtime import cut, running_sum, table
+from ..runtime import cut, running_sum, stored, table
 from . import data
 from .edges import _CAND
 
@@ -117,7 +117,7 @@ def g7_topic_angles(spark, d):
 def g8_costar_angles(spark, d):
     from .edges import a9_costar_pmi
 
-    return layout.spectral(cut(a9_costar_pmi(spark, d)), normalised=False)
+    return layout.spectral(stored(a9_costar_pmi(spark, d)), normalised=False)
 
 
 _ANGLE = "(SELECT event_type, 2 * pi() * (row_number() OVER (ORDER BY event_type) - 1) / 7 AS theta FROM (SELECT DISTINCT event_type FROM events WHERE event_type <> 'error'))"

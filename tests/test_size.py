@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from ravelin.operators import association, explore, graph, overlap
+from ravelin.operators import association, explore, graph, layout, overlap
 from ravelin.runtime import cut
 
 
@@ -152,3 +152,33 @@ def test_trees_over_many_communities(spark):
     assert flat.select("member").distinct().count() == n
     roots = {r.path[-2] for r in graph.ancestors(tree).collect()}
     assert {r.id for r in top if r.member_count > 1} <= roots
+
+
+def test_components_keep_a_row_a_node_in_each_task(spark):
+    pairs = [(f"n{i:02}", f"n{j:02}") for i in range(40) for j in range(40) if i % 3 == j % 3 and i != j] + [("x", "x"), (None, "n01")]
+    e = spark.createDataFrame(pairs, "a string, b string").repartition(2)
+    few = cut(graph.stars(e, flush=100))
+    assert few.count() <= 2 * 41
+    want = {r.node: r.component for r in graph.components(e).collect()}
+    assert {r.node: r.component for r in graph.components(few).collect()} == want
+
+
+def test_rounds_of_eigenvectors_shuffle_nothing(spark):
+    import math
+    import random
+
+    rnd = random.Random(4)
+    pairs = {tuple(sorted(rnd.sample(range(200), 2))) for _ in range(900)} | {(i, i + 1) for i in range(199)}
+    rows = [(f"n{a:03}", f"n{b:03}", 1 + rnd.random()) for a, b in sorted(pairs)]
+    rows += [(b, a, w / 2) for a, b, w in rows[:50]] + [("n000", "n001", None), ("other", "pair", 1.0)]  # of repeated edges the greatest holds
+    e = spark.createDataFrame(rows, "a string, b string, w double").repartition(3)
+    got = {}
+    for normalised in (True, False):
+        for way, kept in {"dense": {}, "packed": {"dense": 2}}.items():
+            spark.sparkContext.setJobGroup(f"{way}{normalised}", way)
+            got[way] = {r.node: (r.r * math.cos(r.theta), r.r * math.sin(r.theta)) for r in layout.spectral(e, normalised, **kept).collect()}
+        spark.sparkContext.setJobGroup("rest", "rest")
+        assert got["dense"].keys() == got["packed"].keys() and len(got["dense"]) == 200
+        assert all(math.dist(got["dense"][k], got["packed"][k]) < 1e-3 for k in got["dense"])
+        ids = [len(spark.sparkContext.statusTracker().getJobInfo(j).stageIds) for j in spark.sparkContext.statusTracker().getJobIdsForGroup(f"packed{normalised}")]
+        assert len(ids) - ids.count(1) < 60  # before, each round had several jobs with a shuffle
