@@ -182,3 +182,16 @@ def test_rounds_of_eigenvectors_shuffle_nothing(spark):
         assert all(math.dist(got["dense"][k], got["packed"][k]) < 1e-3 for k in got["dense"])
         ids = [len(spark.sparkContext.statusTracker().getJobInfo(j).stageIds) for j in spark.sparkContext.statusTracker().getJobIdsForGroup(f"packed{normalised}")]
         assert len(ids) - ids.count(1) < 60  # before, each round had several jobs with a shuffle
+
+
+def test_edges_of_communities_do_not_come_to_the_driver(spark):
+    import tracemalloc
+
+    e = cut(spark.range(20_000).select(F.concat(F.lit("n"), F.col("id") % 997).alias("a"), F.concat(F.lit("n"), (F.col("id") * 7) % 1009).alias("b"), F.lit(1.0).alias("w")))
+    tracemalloc.start()
+    got = graph.communities(e, 2.0, rounds=3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50 * 20_000  # bytes of the driver's Python an edge
+    assert "LocalTableScan" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == got.select("node").distinct().count() > 1000
+    assert graph.communities(e.limit(0)).count() == 0
