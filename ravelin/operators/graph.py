@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -423,6 +423,39 @@ def shortest_path(tiers: DataFrame, start: str, goal: str, max_hops: int | None
     return spark.createDataFrame(sorted(path), "hop int, node string, tier string")
 
 
+def path_between(near: Callable[[DataFrame], DataFrame], one: Callable[[str], DataFrame], start: str, goal: str) -> list[tuple[int, str, str | None]]:
+    """(hop, node, tier): the path of shortest_path() where edges are not kept: near(nodes) makes the edges (u, v, tier, rank) of a table of nodes u, in either direction.
+
+    Levels grow from both ends, the smaller one next, until two meet, so only nodes near the ends have their edges made; then those levels of the goal's side are
+    narrowed to nodes on shortest paths, and a walk goes back from the goal. Empty if there is no path.
+    """
+    if start == goal:
+        return [(0, start, None)]
+    levels, sizes = [[one(start)], [one(goal)]], [1, 1]
+    seen = [one(start), one(goal)]
+    met = None
+    while met is None or met.isEmpty():
+        s = int(sizes[1] < sizes[0])
+        new = cut(near(levels[s][-1]).select(F.col("v").alias("node")).distinct().join(seen[s], "node", "left_anti"))
+        sizes[s] = new.count()
+        if not sizes[s]:
+            return []
+        levels[s].append(new)
+        seen[s] = cut(seen[s].unionByName(new))
+        met = new.join(levels[1 - s][-1], "node", "left_semi")
+    there, back = levels
+    good = [cut(met)] if len(back) > 1 else []
+    for level in back[-2:0:-1]:
+        good.append(cut(level.join(near(good[-1]).select(F.col("v").alias("node")), "node", "left_semi")))
+    at, path = goal, []
+    layers = [*good[::-1], *there[-2::-1]]
+    for hop, layer in zip(range(len(layers), 0, -1), layers):
+        r = near(one(at)).join(layer.select(F.col("node").alias("v")), "v", "left_semi").agg(F.min_by(F.struct("v", "tier"), F.struct("rank", "v")).alias("p")).first()["p"]
+        path.append((hop, at, r["tier"]))
+        at = r["v"]
+    return [(0, at, None), *path[::-1]]
+
+
 def within_hops(edges: DataFrame, start: str, hops: int) -> DataFrame:
     """(node, hop): everything within so many hops, with its distance."""
     both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())

@@ -72,6 +72,23 @@ def overlap_edges(pairs: DataFrame, left: str = "left", item: str = "item", min_
     return both.select("a", "b", w.cast("long").alias("w"), *got).where(F.col("w") >= min_shared)
 
 
+def coded_lists(pairs: DataFrame, min_shared: int, left: str = "left", item: str = "item") -> DataFrame:
+    """(l, h): each key's items that others hold too, as 64-bit hashes, the rarest first, for keys of at least min_shared of them."""
+    flat = pairs.select(F.col(left).alias("l"), F.xxhash64(item).alias("i")).where(F.col(left).isNotNull() & F.col(item).isNotNull()).distinct()
+    freq = flat.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    h = flat.join(freq, "i").groupBy("l").agg(F.array_sort(F.collect_list(F.struct("n", "i"))).alias("h")).where(F.size("h") >= min_shared)
+    return cut(h.select("l", F.transform("h", lambda v: v["i"]).alias("h")))
+
+
+def edges_of(nodes: DataFrame, lists: DataFrame, min_shared: int) -> DataFrame:
+    """(u, v): the edges of overlap_edges() at the nodes u, from coded_lists(); a pair is made where it meets by its rarest common item."""
+    early = lambda t: t.select("l", "h", F.explode(F.slice("h", F.lit(1), F.size("h") - (min_shared - 1))).alias("i"))
+    x = early(lists.join(nodes.select(F.col("node").alias("l")), "l", "left_semi")).select(F.col("l").alias("u"), F.col("h").alias("hu"), "i")
+    y = early(lists).select(F.col("l").alias("v"), F.col("h").alias("hv"), "i")
+    common = x.join(y, "i").where(F.col("u") != F.col("v")).select("u", "v", "i", F.array_intersect("hu", "hv").alias("m"))
+    return common.where((F.size("m") >= min_shared) & (F.get("m", F.lit(0)) == F.col("i"))).select("u", "v")
+
+
 def _packed(lists: DataFrame, groups: int) -> DataFrame:
     """(g, names, sizes, items, counts, holders): the lists (l, h) in groups, each a row with its names in order and its items with the places of their holders."""
 

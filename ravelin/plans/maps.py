@@ -338,11 +338,23 @@ def _tiers(spark, d, among=None):
 
 @query()
 def g17_shortest_path(spark, d):
-    """From the first to the last repository of the largest component over both tiers."""
-    tiers = cut(_tiers(spark, d))
-    comp = cut(graph.components(tiers))
+    """From the first to the last repository of the largest component over both tiers. Pairs with common tags are made as they are asked for, and not kept."""
+    schema = "hop int, node string, tier string"
+    star = cut(data.star_edges(spark, d).select("a", "b"))
+    both = cut(overlap.both_ways(star.withColumn("w", F.lit(0))).select(F.col("node").alias("u"), F.col("other").alias("v"), F.lit("stargazer").alias("tier"), F.lit(0).alias("rank")))
+    lists = overlap.coded_lists(data.repo_topics(spark, d), 4, "repo", "topic")
+    topic = overlap.dense_overlaps(lists.select(F.col("l").alias("left"), F.explode("h").alias("item")), min_shared=4, least=4)[0]
+    comp = cut(graph.components(graph.stars(star).unionByName(graph.stars(topic))))
     big = comp.groupBy("component").agg(F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y")).orderBy(F.col("n").desc(), "component").first()
-    return graph.shortest_path(tiers, big["x"], big["y"])
+    if big is None:
+        return spark.createDataFrame([], schema)
+
+    def near(nodes):
+        tags = overlap.edges_of(nodes, lists, 4).select("u", "v", F.lit("semantic").alias("tier"), F.lit(3).alias("rank"))
+        return both.join(nodes.select(F.col("node").alias("u")), "u", "left_semi").select("u", "v", "tier", "rank").unionByName(tags)
+
+    path = graph.path_between(near, lambda x: spark.createDataFrame([(x,)], "node string"), big["x"], big["y"])
+    return spark.createDataFrame(path, schema)
 
 
 @query(

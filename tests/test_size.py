@@ -195,3 +195,37 @@ def test_edges_of_communities_do_not_come_to_the_driver(spark):
     assert most < 50 * 20_000  # bytes of the driver's Python an edge
     assert "LocalTableScan" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == got.select("node").distinct().count() > 1000
     assert graph.communities(e.limit(0)).count() == 0
+
+
+def test_paths_without_kept_edges_are_the_same(spark):
+    import random
+
+    rnd = random.Random(8)
+    sets = {f"r{k:02}": rnd.sample("abcdefghij", rnd.randint(3, 5)) for k in range(24)}
+    t = spark.createDataFrame([(k, i) for k, v in sets.items() for i in v], "left string, item string")
+    chain = [(f"r{k:02}", f"x{k:02}") for k in (3, 7)] + [("x03", "y03"), ("y03", "y07"), ("x07", "y07"), ("zz", "zy")]
+    other = cut(spark.createDataFrame(chain, "a string, b string").withColumn("tier", F.lit("chain")).withColumn("rank", F.lit(0)))
+    tags = overlap.overlap_edges(t, min_shared=4)
+    tiers = cut(other.unionByName(tags.select("a", "b", F.lit("tags").alias("tier"), F.lit(3).alias("rank"))))
+    lists = overlap.coded_lists(t, 4)
+    known = [r.left for r in t.select("left").distinct().orderBy("left").collect()]
+    made = overlap.edges_of(spark.createDataFrame([(k,) for k in known], "node string"), lists, 4)
+    both = {(r.a, r.b) for r in tags.collect()}
+    assert sorted(map(tuple, made.collect())) == sorted(both | {(b, a) for a, b in both}) and both
+    ways = cut(tiers.where("rank = 0").select(F.col("a").alias("u"), F.col("b").alias("v"), "tier", "rank").unionByName(tiers.where("rank = 0").select(F.col("b").alias("u"), F.col("a").alias("v"), "tier", "rank")))
+
+    def near(nodes):
+        e = overlap.edges_of(nodes, lists, 4).select("u", "v", F.lit("tags").alias("tier"), F.lit(3).alias("rank"))
+        return ways.join(nodes.withColumnRenamed("node", "u"), "u", "left_semi").unionByName(e)
+
+    ends = sorted({x for r in tiers.collect() for x in (r.a, r.b)})
+    for x, y in [(ends[0], ends[-3]), (ends[-3], ends[2]), ("x03", "x07"), (ends[1], ends[1]), ("r00", "zz")]:
+        got = graph.path_between(near, lambda k: spark.createDataFrame([(k,)], "node string"), x, y)
+        assert got == sorted(map(tuple, graph.shortest_path(tiers, x, y).collect())), (x, y)
+
+
+def test_pairs_with_common_tags_are_not_kept_for_a_path(spark, small, monkeypatch):
+    from ravelin.plans import maps
+
+    monkeypatch.setattr(maps.overlap, "overlap_edges", None)
+    assert [r.hop for r in maps.g17_shortest_path(spark, small).orderBy("hop").collect()][:1] == [0]
