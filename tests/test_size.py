@@ -229,3 +229,14 @@ def test_pairs_with_common_tags_are_not_kept_for_a_path(spark, small, monkeypatc
 
     monkeypatch.setattr(maps.overlap, "overlap_edges", None)
     assert [r.hop for r in maps.g17_shortest_path(spark, small).orderBy("hop").collect()][:1] == [0]
+
+
+def test_edges_of_a_tree_do_not_come_to_the_driver(spark):
+    import tracemalloc
+
+    e = cut(spark.range(20_000).select(F.concat(F.lit("n"), F.col("id") % 997).alias("a"), F.concat(F.lit("n"), (F.col("id") * 7) % 1009).alias("b"), (1.0 + F.col("id") % 5).alias("w")).groupBy("a", "b").agg(F.max("w").alias("w")))
+    tracemalloc.start()
+    tree = graph.hierarchy(e, e.select(F.col("a").alias("node")), levels=1, k=100)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50 * e.count() and tree.count() == 997  # bytes of the driver's Python an edge
