@@ -2,25 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.uris import is_forge_node
+from ..runtime import cut
 from .graph import components
-from .overlap import containment, same_by_containment, sketch_candidates
+from .overlap import containment
 
+#: Meetings of origins by one object id up to which all are looked at; beyond, only those of origins that don't hang together yet.
+HEAVY = 1_000_000
 
-def evidence(pages: DataFrame, refs: DataFrame) -> DataFrame:
-    """(a, b, reason): ties between lower slugs by rename, declared fork and shared refs.
 
-    pages: repo, full_name, fork, parent_full_name (one row per repo); refs: origin, object_id.
+def same_refs(refs: DataFrame, key: str = "origin", item: str = "object_id", min_shared: int = 2, least: float = 0.9, heavy: int = HEAVY) -> DataFrame:
+    """(a, b): keys a < b with at least min_shared common items that make up at least `least` of the smaller key's, as many as connect
+    all keys that such pairs connect. No item is passed over.
+
+    With the items that others hold too, the rarest first, the first common one of a pair is among all but the last need - 1 of the smaller key,
+    need being the common items it must have, and at least need items of the larger key are left from there on. Keys meet by such items, hashed, and
+    those that met are counted by the items themselves. An item by which more than `heavy` pairs meet first brings its keys together with its
+    largest one; then only keys that don't hang together by that meet, so near copies in any number cost a few rows each. Pairs by such items
+    come both ways round, since not all pairs of their keys come.
     """
+    known = refs.where(F.col(key).isNotNull() & F.col(item).isNotNull())
+    sets = cut(known.groupBy(F.col(key).alias("l")).agg(F.collect_set(item).alias("ids")).where(F.size("ids") >= min_shared))
+    flat = sets.select("l", F.size("ids").alias("k"), F.explode("ids").alias("i")).select("l", "k", F.xxhash64("i").alias("i"))
+    held = flat.withColumn("n", F.count("*").over(Window.partitionBy("i"))).where(F.col("n") > 1)
+    need = F.greatest(F.lit(min_shared), F.ceil(F.col("k") * F.lit(least) - 1e-9)).cast("int")
+    ranked = cut(held.groupBy("l", "k").agg(F.array_sort(F.collect_list(F.struct("n", "i"))).alias("r")).where(F.size("r") >= min_shared).withColumn("need", need))
+    early = ranked.where(F.size("r") >= F.col("need")).select("l", "k", "need", F.explode(F.slice("r", F.lit(1), F.size("r") - F.col("need") + 1)).alias("v")).select("l", "k", "need", "v.*")
+    later = ranked.select(F.col("l").alias("o"), F.col("k").alias("ko"), F.size("r").alias("s"), F.posexplode("r").alias("p", "v")).select("o", "ko", F.col("v.i").alias("i"), (F.col("s") - F.col("p")).alias("left"))
+    later = later.where(F.col("left") >= min_shared)
+    plain = (lambda c: F.transform(c, F.hex)) if refs.schema[item].dataType.typeName() == "binary" else F.col  # arrays of bytes are intersected item by item
+
+    def same(met: DataFrame) -> DataFrame:
+        met = met.where((F.col("left") >= F.col("need")) & (F.struct("k", "l") < F.struct("ko", "o"))).select("l", "o", "k").distinct()
+        both = met.join(sets.select("l", F.col("ids").alias("x")), "l").join(sets.select(F.col("l").alias("o"), F.col("ids").alias("y")), "o")
+        got = both.select("l", "o", "k", F.size(F.array_intersect(plain("x"), plain("y"))).alias("c"))
+        return got.where((F.col("c") >= min_shared) & (F.col("c") / F.col("k") >= least)).select(F.least("l", "o").alias("a"), F.greatest("l", "o").alias("b"))
+
+    hot = cut(early.groupBy("i").agg(F.count("*").alias("m"), F.max("n").alias("n")).where(F.col("m") * F.col("n") > heavy).select("i"))
+    if hot.isEmpty():
+        return same(early.join(later, "i"))
+    x, y = cut(early.join(hot, "i", "left_semi")), cut(later.join(hot, "i", "left_semi"))
+    largest = y.groupBy("i").agg(F.max_by(F.struct("o", "ko", "left"), F.struct("ko", "o")).alias("v")).select("i", "v.*")
+    first = cut(same(x.join(largest, "i")))
+    comp = cut(components(first))
+    x = x.join(comp.select(F.col("node").alias("l"), F.col("component").alias("c")), "l", "left").withColumn("c", F.coalesce("c", "l"))
+    y = y.join(comp.select(F.col("node").alias("o"), F.col("component").alias("co")), "o", "left").withColumn("co", F.coalesce("co", "o"))
+    most = y.groupBy("i", "co").agg(F.count("*").alias("n")).groupBy("i").agg(F.max_by("co", F.struct("n", "co")).alias("most"))
+    x, y = x.join(most, "i"), y.join(most, "i").withColumnRenamed("most", "most_o")
+    inside, cols = F.col("c") == F.col("most"), ["l", "o", "k", "ko", "need", "left"]
+    rest = x.where(~inside).join(y, "i").where(F.col("c") != F.col("co")).select(*cols)
+    rest = rest.unionByName(x.where(inside).join(y.where(F.col("co") != F.col("most_o")), "i").select(*cols))
+    hung = cut(first.unionByName(same(rest)))
+    return same(early.join(hot, "i", "left_anti").join(later, "i")).unionByName(hung).unionByName(hung.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def declared(pages: DataFrame) -> DataFrame:
+    """(a, b, reason): ties between lower slugs by rename and declared fork."""
     p = pages.select(F.lower("repo").alias("a"), F.lower("full_name").alias("n"), F.when(F.col("fork"), F.lower("parent_full_name")).alias("f"))
     rename = p.where(F.col("n").isNotNull() & (F.col("n") != F.col("a"))).select("a", F.col("n").alias("b"), F.lit("rename").alias("reason"))
     fork = p.where(F.col("f").isNotNull() & (F.col("f") != F.col("a"))).select("a", F.col("f").alias("b"), F.lit("fork").alias("reason"))
+    return rename.unionByName(fork)
+
+
+def evidence(pages: DataFrame, refs: DataFrame) -> DataFrame:
+    """(a, b, reason): ties between lower slugs by rename, declared fork and shared refs, of the latter as many as connect all.
+
+    pages: repo, full_name, fork, parent_full_name (one row per repo); refs: origin, object_id.
+    """
     low = refs.select(F.lower("origin").alias("origin"), "object_id")
-    held = same_by_containment(containment(sketch_candidates(low), low)).select("a", "b", F.lit("refs").alias("reason"))
-    return rename.unionByName(fork).unionByName(held)
+    held = same_refs(low).select("a", "b", F.lit("refs").alias("reason"))
+    return declared(pages).unionByName(held)
 
 
 def groups(members: DataFrame, ties: DataFrame, key: str = "repo") -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..operators import explore, graph, identity, labels, layout, overlap, resolve
 from ..runtime import cut, running_sum, stored, table
 from . import data
-from .edges import _CAND
 
 Q, SQL = {}, {}
 
@@ -40,13 +39,11 @@ def _grouped(spark, d):
 
 @query(_REACH.format(_EVIDENCE) + " SELECT x AS node, min(y) AS component FROM r GROUP BY 1")
 def g1_components(spark, d):
-    p = data.pages(spark, d)
-    ties = identity.evidence(p, data.refs(spark, d)).where("reason <> 'refs'")
-    return graph.components(ties)
+    return graph.components(identity.declared(data.pages(spark, d)))
 
 
 @query(
-    _REACH.format(_EVIDENCE + f" UNION SELECT a, b FROM (SELECT k.a, k.b FROM {_CAND} k JOIN (SELECT origin, count(*) AS n FROM {data.REFS} GROUP BY 1) p ON p.origin = k.a JOIN (SELECT origin, count(*) AS n FROM {data.REFS} GROUP BY 1) q ON q.origin = k.b JOIN {data.REFS} x ON x.origin = k.a JOIN {data.REFS} y ON y.origin = k.b AND y.object_id = x.object_id GROUP BY k.a, k.b, p.n, q.n HAVING count(*) >= 2 AND count(*) / least(p.n, q.n) >= 0.9)")
+    _REACH.format(_EVIDENCE + f" UNION SELECT a, b FROM (WITH f AS {data.REFS}, n AS (SELECT origin, count(*) AS n FROM f GROUP BY 1) SELECT x.origin AS a, y.origin AS b FROM f x JOIN f y ON y.object_id = x.object_id AND x.origin < y.origin JOIN n p ON p.origin = x.origin JOIN n q ON q.origin = y.origin GROUP BY x.origin, y.origin, p.n, q.n HAVING count(*) >= 2 AND count(*) / least(p.n, q.n) >= 0.9)")
     + f""", p AS (SELECT *, coalesce(fork, false) AS fk FROM {data.PAGES}), comp AS (SELECT x, min(y) AS c FROM r GROUP BY 1), g AS (SELECT coalesce(c, repo) AS grp, p.* FROM p LEFT JOIN comp ON x = repo),
     nm AS (SELECT m.grp, min(m.repo) AS v FROM g m JOIN (SELECT DISTINCT grp, lower(full_name) AS f FROM g) f ON f.grp = m.grp AND f.f = m.repo WHERE NOT m.fk GROUP BY 1 HAVING count(DISTINCT m.repo) = 1),
     sc AS (SELECT m.grp, min(m.repo) AS v FROM g m JOIN (SELECT DISTINCT grp, lower(parent_full_name) AS f FROM g WHERE fk) f ON f.grp = m.grp AND f.f = m.repo GROUP BY 1 HAVING count(DISTINCT m.repo) = 1),

@@ -1,9 +1,10 @@
+import hashlib
 import itertools
 import random
 
 import pytest
 
-from ravelin.operators import association, graph, layout, overlap, resolve
+from ravelin.operators import association, graph, identity, layout, overlap, resolve
 
 
 def rows(df, *cols):
@@ -249,3 +250,36 @@ def test_overlap_is_exact_for_lists_of_any_length(spark, short, k):
 def test_pairs_of_short_lists_are_not_shuffled(abc):
     e = overlap.overlap_edges(abc, min_shared=3, with_members=True)
     assert "hashpartitioning(a#" not in e._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mirror_beyond_the_smallest_ids_is_found(spark):
+    """No id of the pair is among the larger one's 96 smallest, and all common ids have more than 40 holders."""
+    mirror = [f"x{i:02}" for i in range(20)]
+    sets = {"a/mirror": mirror, "b/whole": mirror + [f"a{i:03}" for i in range(150)], "c/one": ["x00", *(f"c{i}" for i in range(9))]}
+    sets |= {f"z/{k:02}": [*mirror, *(f"z{k:02}{j}" for j in range(60))] for k in range(45)}
+    refs = spark.createDataFrame([(k, i) for k, v in sets.items() for i in v], "origin string, object_id string")
+    pages = spark.createDataFrame([(k, k, False, None) for k in sets], "repo string, full_name string, fork boolean, parent_full_name string")
+    got = dict(rows(identity.groups(pages, identity.evidence(pages, refs)), "repo", "group"))
+    assert got == {k: "c/one" if k == "c/one" else "a/mirror" for k in sets}
+
+
+def _connected(pairs):
+    group = {}
+    for a, b in pairs:
+        both = group.get(a, {a}) | group.get(b, {b})
+        group |= dict.fromkeys(both, both)
+    return {frozenset(g) for g in group.values()}
+
+
+@pytest.mark.parametrize("heavy", [0, 30, 10**9])
+def test_shared_refs_connect_as_all_pairs_do(spark, heavy):
+    rnd = random.Random(9)
+    base = [f"b{i:02}" for i in range(30)]
+    sets = {f"n{i:02}": set(base) - {base[i % 30]} | {f"own{i}"} for i in range(40)}
+    sets |= {f"m{i:02}": set(rnd.sample(base, rnd.randint(1, 6))) | set(rnd.sample("pqrstuvw", rnd.randint(0, 3))) for i in range(60)}
+    sets |= {f"s{i:02}": {*rnd.sample("pqrstuvw", 5), *(f"t{i // 8}{j}" for j in range(rnd.randint(0, 9)))} for i in range(60)} | {"two": {"b00", "p"}, "one": {"p"}, "copy": {"b00", "p"}}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if (n := len(sets[a] & sets[b])) >= 2 and n / min(len(sets[a]), len(sets[b])) >= 0.9}
+    data = [(k, hashlib.sha1(i.encode()).digest()) for k, v in sets.items() for i in v] + [(None, b"x"), ("n00", None), ("one", hashlib.sha1(b"p").digest())]
+    got = {(r.a, r.b) for r in identity.same_refs(spark.createDataFrame(data, "origin string, object_id binary"), heavy=heavy).collect()}
+    assert {(min(p), max(p)) for p in got} <= want and _connected(got) == _connected(want)
+    assert heavy < 10**9 or got == want
